@@ -4,8 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import mixing, simhash
-from lattica.session import table
+from lattica.llm import (
+    decontamination,
+    html_text,
+    language_id,
+    line_dedup,
+    mixing,
+    order_minhash,
+    simhash,
+    substring_dedup,
+    token_counts,
+    warc,
+)
+from lattica.session import shared_path, table
+
+
+def _total(spans):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op1_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return warc.read_archives(manifest, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
 def op4_simhash(spark, sf_dir):
@@ -18,9 +48,86 @@ def op5_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _total("spans").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("_lines").alias("n_lines"), _total("_spans").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op8_html_text(spark, sf_dir):
+    found = html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_order_minhash(spark, sf_dir):
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out_fold().alias("held_out"), "lang_pred", "score")
+
+
 def queries():
-    return {"op4_simhash": op4_simhash, "op5_mixing": op5_mixing}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op2_token_counts": op2_token_counts,
+        "op3_warc": op3_warc,
+        "op4_simhash": op4_simhash,
+        "op5_mixing": op5_mixing,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_html_text": op8_html_text,
+        "op9_order_minhash": op9_order_minhash,
+        "op10_language_id": op10_language_id,
+    }
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), k AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest
+"""
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+), dup AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win
+  ) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + d AS j FROM dup, range(20) AS t(d)
+), word AS (
+  SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) AS j FROM w
+), kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS text, count(*) AS n
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j
+  GROUP BY word.doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL}
