@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lattica.plans import grids, meshes, points
+
 
 def queries():
-    return {}
+    return {**meshes.register.queries, **points.register.queries, **grids.register.queries}
 
 
 def oracle_sql():
-    return {}
+    return {**meshes.register.oracles, **points.register.oracles, **grids.register.oracles}
