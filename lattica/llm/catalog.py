@@ -105,7 +105,7 @@ FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest
 
 OP6_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), win AS (
   SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h
