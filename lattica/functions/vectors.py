@@ -61,7 +61,8 @@ def unit(a: Vec) -> Vec:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(x, F.lit(float(hi))), F.lit(float(lo)))
+    """Null stays null."""
+    return F.when(x < float(lo), float(lo)).when(x > float(hi), float(hi)).otherwise(x)
 
 
 def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -49,16 +49,14 @@ def convex_hulls(points: DataFrame, directions: int = 32) -> DataFrame:
     ends = points.groupBy("region_id").agg(
         *[F.max(F.struct(height(a).alias("h"), F.col("x").alias("x"), F.col("y").alias("y"))).alias(f"e{k}") for k, a in enumerate(angles)]
     )
-    inside = F.lit(True)
-    for k in range(directions):
-        a, b = f"e{k}", f"e{(k + 1) % directions}"
-        turn = (F.col(f"{b}.x") - F.col(f"{a}.x")) * (F.col("y") - F.col(f"{a}.y")) - (F.col(f"{b}.y") - F.col(f"{a}.y")) * (F.col("x") - F.col(f"{a}.x"))
-        same = (F.col(f"{a}.x") == F.col(f"{b}.x")) & (F.col(f"{a}.y") == F.col(f"{b}.y"))
-        inside = inside & (same | (turn > 1e-12))
-    distinct = F.lit(False)
-    for k in range(1, directions):
-        distinct = distinct | (F.col(f"e{k}.x") != F.col("e0.x")) | (F.col(f"e{k}.y") != F.col("e0.y"))
-    left = points.join(ends, "region_id").filter(~(inside & distinct)).select("region_id", "point_id", "x", "y")
+    ends = ends.select("region_id", F.array_distinct(F.array(*[F.struct(f"e{k}.x", f"e{k}.y") for k in range(directions)])).alias("ends"))
+
+    def left_of(a, b):
+        return (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"]) > 1e-12
+
+    nexts = F.concat(F.slice("ends", 2, directions), F.slice("ends", 1, 1))
+    within = (F.size("ends") > 2) & F.forall(F.zip_with("ends", nexts, left_of), lambda t: t)
+    left = points.join(ends, "region_id").filter(~within).select("region_id", "point_id", "x", "y")
     return left.groupBy("region_id").applyInPandas(_hull, HULL_DDL)
 
 

@@ -84,7 +84,7 @@ def kth_hole(members: DataFrame, k: int) -> DataFrame:
     """(vertex_id) of the hole of rank k, ranks wrapping around; empty if there are no holes."""
     ranked = ranked_holes(members)
     total = ranked.agg(F.count("*").alias("total"))
-    chosen = ranked.crossJoin(F.broadcast(total)).filter(F.col("rank") == F.lit(k) % F.col("total")).select("hole_id")
+    chosen = ranked.crossJoin(F.broadcast(total)).filter(F.col("rank") == F.try_mod(F.lit(k), F.col("total"))).select("hole_id")
     return members.join(chosen, "hole_id", "left_semi").select("hole_id", "vertex_id")
 
 

@@ -137,7 +137,7 @@ def parse_pcd(data: bytes):
     starts = np.cumsum([0, *counts])
     columns = [int(starts[fields.index(a)]) for a in "xyz"]
     if parts[1] == "ascii":
-        rows = pd.read_csv(io.BytesIO(data[at:]), sep=r"\s+", header=None, usecols=columns, dtype=float)[columns].to_numpy() if data[at:].strip() else np.zeros((0, 3))
+        rows = pd.read_csv(io.BytesIO(data[at:]), sep=r"\s+", engine="c", header=None, usecols=columns, dtype=float, float_precision="round_trip")[columns].to_numpy() if data[at:].strip() else np.zeros((0, 3))
         single = [sizes[fields.index(a)] == "4" and types[fields.index(a)] == "F" for a in "xyz"]
         for k, s in enumerate(single):
             if s:
