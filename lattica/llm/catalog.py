@@ -16,6 +16,7 @@ from lattica.llm import (
     token_counts,
     warc,
 )
+from lattica.llm.oracles import ORACLES
 from lattica.session import shared_path, table
 
 
@@ -90,44 +91,5 @@ def queries():
     }
 
 
-OP3_SQL = """
-WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
-  FROM pages
-), k AS (
-  SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
-)
-SELECT page_id, payload_bytes, p.payload_digest,
-       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
-FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest
-"""
-
-OP6_SQL = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
-  FROM documents
-), win AS (
-  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
-), dup AS (
-  SELECT doc_id, i FROM (
-    SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win
-  ) WHERE k > 1
-), gone AS (
-  SELECT DISTINCT doc_id, i + d AS j FROM dup, range(20) AS t(d)
-), word AS (
-  SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) AS j FROM w
-), kept AS (
-  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS text, count(*) AS n
-  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j
-  GROUP BY word.doc_id
-)
-SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
-       sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
-"""
-
-
 def oracle_sql():
-    return {"op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return dict(ORACLES)

@@ -34,6 +34,7 @@ GOLDEN = int(2**POINT_BITS / ((1 + math.sqrt(5)) / 2)) | 1
 CELL_BITS = 12
 CHUNK_BITS = 14
 SHUFFLE_BUCKET_BITS = 12
+HASH_DIGITS = 15
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
@@ -119,9 +120,9 @@ def shuffled_streams(sizes: DataFrame, seed: int = SEED) -> DataFrame:
 
     Prefix sums over hash buckets of a source, then within each bucket.
     """
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), 1, HASH_DIGITS), 16, 10).cast("long")
     rows = sizes.filter("size > 0").withColumn("h", h)
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - SHUFFLE_BUCKET_BITS))
+    rows = rows.withColumn("bucket", F.shiftright("h", 4 * HASH_DIGITS - SHUFFLE_BUCKET_BITS))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     so_far = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("offset"))
