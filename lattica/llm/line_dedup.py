@@ -123,6 +123,7 @@ def removable_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     seqs = materialize(seqs.filter(F.size("hs") > 0).dropDuplicates(["id", "tag"]), "lines")
     held = seqs.select("id", "tag", F.explode(F.array_distinct("hs")).alias("h"))
     known = held.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("holder"), F.count("*").alias("n")).filter("n > 1")
+    known = materialize(known, "shared-lines")  # read anew, so that a common line's rows can be split in the join
     shared = held.join(known, "h").filter(F.col("id") > F.col("holder.id"))
     pairs = (
         shared.groupBy("id", "tag", "holder")
