@@ -7,8 +7,9 @@ temperature, fitted on examples that were not trained on, calibrates the scores,
 threshold is the ``REJECTED`` quantile of the scores of those predicted right, at most one half.
 
 Training reads about ``DOCS_PER_LANGUAGE`` documents of each language (all if there are fewer),
-chosen by the hash of their id, and of each at most ``EXAMPLES_PER_DOC`` stretches spread over the
-whole text: a documented bound of the sample. Prediction reads whole texts.
+chosen by the hash of their id, and of each at most ``EXAMPLES_PER_DOC`` stretches of up to 40 words
+(of up to 100 characters) spread over the whole text: a documented bound of the sample. Prediction
+reads whole texts.
 
 A text that is null or has no letter is ``und`` with score 0 and always rejected. If no labelled
 row is left to learn from, every text is ``und``. Repeated rows get equal predictions. Other
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.session import materialize
+
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 600
 EXAMPLES_PER_DOC = 6
@@ -37,6 +40,7 @@ SEED = 3
 HELD_OUT_SHARE = 0.1
 REJECTED = 0.0005
 LONG_TEXT = 6000
+BROADCAST_LANGUAGES = 10_000
 PIECES = (2, 3, 4)
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -160,7 +164,9 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(
         "lang IS NOT NULL AND text IS NOT NULL"
     ).filter(~held_out_fold())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
+        counts = F.broadcast(counts)
     pick = F.xxhash64("doc_id", F.lit(SEED))
     chosen = labelled.withColumn("pick", pick).join(counts, "lang")
     chosen = chosen.filter(F.shiftrightunsigned("pick", 33) < F.lit(docs_per_language) / F.col("n") * float(1 << 31))
