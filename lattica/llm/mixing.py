@@ -32,7 +32,7 @@ SEED = 7
 POINT_BITS = 40
 GOLDEN = int(2**POINT_BITS / ((1 + math.sqrt(5)) / 2)) | 1
 CELL_BITS = 12
-CHUNK_BITS = 14
+CHUNK_BITS = 12
 SHUFFLE_BUCKET_BITS = 12
 HASH_DIGITS = 15
 
