@@ -49,6 +49,15 @@ def raster_hulls(hulls: DataFrame, start, end, detail: int) -> DataFrame:
     return blocked.withColumn("state", F.lit(BLOCKED)).join(marks.select("cx", "cy"), ["cx", "cy"], "left_anti").unionByName(marks)
 
 
+def full_raster(hulls: DataFrame, start, end, detail: int) -> tuple[DataFrame, int, int]:
+    """(cells, width, height): ``raster_hulls`` with a row for every cell of the grid."""
+    x0, x1, y0, y1 = raster_bounds(hulls, start, end, detail)
+    w, h = int((x1 - x0) * detail), int((y1 - y0) * detail)
+    every = hulls.sparkSession.range(w * h).select((F.col("id") % w).alias("cx"), F.floor(F.col("id") / w).alias("cy"))
+    marked = raster_hulls(hulls, start, end, detail)
+    return every.join(marked, ["cx", "cy"], "full").select("cx", "cy", F.coalesce("state", F.lit(FREE)).alias("state")), w, h
+
+
 def _cell(p, bounds, w, h) -> tuple[int, int]:
     x0, x1, y0, y1 = bounds
     return round((p[0] - x0) * w / (x1 - x0)), round((p[1] - y0) * h / (y1 - y0))

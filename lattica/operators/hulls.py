@@ -148,6 +148,19 @@ def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(t for t in circles if max(t) < n)
 
 
+def ring_by_angle(points: DataFrame) -> DataFrame:
+    """(region_id, seq, point_id, x, y): points as one ring about their mean, ties by distance, then id.
+
+    A star-shaped outline of a ring given out of order.
+    """
+    from pyspark.sql import Window
+
+    mean = points.groupBy("region_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    order = Window.partitionBy("region_id").orderBy(F.atan2(dy, dx), dx * dx + dy * dy, "point_id")
+    return points.join(mean, "region_id").select("region_id", (F.row_number().over(order) - 1).alias("seq"), "point_id", "x", "y")
+
+
 def _fill(pdf):
     import pandas as pd
 

@@ -70,7 +70,7 @@ def extract_planes(points: DataFrame, threshold: float, most: int, least: int, i
     """
     spark = points.sparkSession
     found, left, k = [], points, 0
-    for _ in range(most * 4):
+    for round_ in range(most * 8):
         if k == most:
             break
         hit = ransac_plane(left, threshold, iterations, seed)
@@ -86,7 +86,7 @@ def extract_planes(points: DataFrame, threshold: float, most: int, least: int, i
             k += 1
             left = materialize(plane_outliers(left, plane, threshold), "planes")
         else:
-            share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "point_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+            share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(round_), "point_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
             gone = (plane_distance(plane) < threshold) & (share < drop_share)
             left = materialize(left.filter(~gone), "planes")
         if n < least:

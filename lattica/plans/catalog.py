@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.plans import grids, meshes, points
+from lattica.plans import grids, meshes, pipelines, points
 
 
 def queries():
-    return {**meshes.register.queries, **points.register.queries, **grids.register.queries}
+    return {**meshes.register.queries, **points.register.queries, **grids.register.queries, **pipelines.register.queries}
 
 
 def oracle_sql():

@@ -469,3 +469,10 @@ def wall_angles(spark, d):
     per = found.groupBy("plane_id", "a", "b", "c").agg(F.count("*").alias("n"))
     angles = per.select(V.angle_to((F.col("a"), F.col("b"), F.col("c")), (1, 0, 0)).alias("v"), F.col("n").alias("w"))
     return planes.weighted_split(angles).select(*rounded(4, lo=F.col("lo"), hi=F.col("hi")))
+
+
+@register("polygon_by_angle", sql("SELECT vertex_id AS point_id, row_number() OVER (ORDER BY atan2(dy, dx), dx * dx + dy * dy, vertex_id) - 1 AS seq FROM (SELECT vertex_id, x - avg(x) OVER () AS dx, y - avg(y) OVER () AS dy FROM vert WHERE vertex_id % 37 = 5)"))
+def polygon_by_angle(spark, d):
+    """Every 37th vertex as one ring."""
+    p = vertices(spark, d).filter("vertex_id % 37 = 5").select(F.lit(0).cast("long").alias("region_id"), F.col("vertex_id").alias("point_id"), "x", "y")
+    return hulls.ring_by_angle(p).select("point_id", F.col("seq").cast("long").alias("seq"))
