@@ -14,8 +14,9 @@ A candidate is verified in its passage: at least ``OVERLAP`` of the item's disti
 ``SHINGLE`` words, and of the distinct words of its answer, must occur. The answer is what follows
 an ``Answer:`` mark or else the last sentence, and the whole item if it has but one sentence.
 
-The index is cut into shards of ``SHARD_ITEMS`` items, and the test items into slices of
-``SLICE_BYTES`` of text, each of which is shared with the executors in its own pass. An item without
+The index is cut into shards of ``SHARD_ITEMS`` items that hold only their own terms, so it grows in
+line with the items, and the test items into slices of ``SLICE_BYTES`` of text, each of which is
+read by the driver and shared with the executors in its own pass. An item without
 words is never found. Null and empty texts have no hits. Repeated rows have equal hits, repeated
 items are found separately. Other columns are ignored.
 """
@@ -23,6 +24,7 @@ items are found separately. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,7 +38,7 @@ LEAST_SCORE = 0.5
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 SHARD_ITEMS = 512
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 BATCH_WORDS = 1 << 18
 
 WORDS = re.compile(r"\w+").findall
@@ -60,6 +62,47 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+class Shard:
+    """Postings of ``SHARD_ITEMS`` items, with only the terms that occur in them.
+
+    ``maxima``: a row for each term, a column for each block. ``blocks``: for each block its terms
+    and their weights in its items.
+    """
+
+    __slots__ = ("first", "terms", "maxima", "blocks")
+
+    def __init__(self, first: int, item: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.first = first
+        self.terms, row = np.unique(term, return_inverse=True)
+        block = item // BLOCK_ITEMS
+        self.maxima = np.zeros((len(self.terms), block[-1] + 1), np.float32)
+        np.maximum.at(self.maxima, (row, block), weight)
+        self.blocks = []
+        bounds = np.searchsorted(block, np.arange(block[-1] + 2))
+        for a, b in zip(bounds, bounds[1:]):
+            terms, row = np.unique(term[a:b], return_inverse=True)
+            weights = np.zeros((len(terms), BLOCK_ITEMS), np.float32)
+            weights[row, item[a:b] % BLOCK_ITEMS] = weight[a:b]
+            self.blocks.append((terms, weights))
+
+    def scores(self, block: int, term: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of a block's items for passages ``term[start:end]``, each of which has a term of the block."""
+        terms, weights = self.blocks[block]
+        lengths = ends - starts
+        places = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        here, row = _places(terms, term[places])
+        pair = np.unique(np.repeat(np.arange(len(starts)), lengths)[here] * len(terms) + row)
+        first = np.searchsorted(pair, np.arange(len(starts)) * len(terms))
+        return np.add.reduceat(weights[pair % len(terms)], first, axis=0, dtype=np.float64)
+
+
+def _places(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` occur, and where those that do stand."""
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    here = sorted_values[at] == wanted
+    return here, at[here]
+
+
 class Index:
     """Inverted index over items: normalised BM25 weights, block maxima, and what verification needs."""
 
@@ -78,23 +121,20 @@ class Index:
         lengths = np.array([len(w) for _, w, _ in kept], float)
         n = len(kept)
         norm = K1 * (1 - B + B * lengths / max(lengths.mean() if n else 1.0, 1e-9))
-        rows = []
-        own = np.zeros(n)
-        for posting in postings:
-            k = np.fromiter(posting, np.int64)
-            tf = np.fromiter(posting.values(), float)
-            weight = np.log1p((n - len(k) + 0.5) / (len(k) + 0.5)) * tf * (K1 + 1) / (tf + norm[k])
-            rows.append((k, weight))
-            own[k] += weight
-        self.shards = []
-        for first in range(0, n, SHARD_ITEMS):
-            size = min(SHARD_ITEMS, n - first)
-            weights = np.zeros((len(rows) + 1, size), np.float32)  # the last row is of unknown words
-            for t, (k, weight) in enumerate(rows):
-                here = (k >= first) & (k < first + size)
-                weights[t, k[here] - first] = weight[here] / own[k[here]]
-            starts = np.arange(0, size, BLOCK_ITEMS)
-            self.shards.append((first, weights, np.maximum.reduceat(weights, starts, axis=1)))
+        lists = [np.fromiter(x, np.int64) for x in postings]
+        item = np.concatenate([*lists, np.zeros(0, np.int64)])
+        tf = np.concatenate([np.fromiter(x.values(), float) for x in postings] + [np.zeros(0)])
+        df = np.array([len(x) for x in lists], np.int64)
+        term = np.repeat(np.arange(len(lists)), df)
+        weight = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])
+        weight = (weight / np.bincount(item, weight, n)[item]).astype(np.float32)
+        by_item = np.argsort(item, kind="stable")
+        item, term, weight = item[by_item], term[by_item], weight[by_item]
+        self.shards = [
+            Shard(first, item[a:b] - first, term[a:b], weight[a:b])
+            for first in range(0, n, SHARD_ITEMS)
+            for a, b in [np.searchsorted(item, (first, first + SHARD_ITEMS))]
+        ]
         self.shingles = [shingles(w) for _, w, _ in kept]
         self.answers = [set(words_of(answer_of(t))) or set(w) for _, w, t in kept]
 
@@ -108,23 +148,22 @@ class Index:
         segment = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         pair = np.unique(segment * len(self.terms) + terms)
         segment, term = pair // max(len(self.terms), 1), pair % max(len(self.terms), 1)
-        cuts = np.searchsorted(segment, np.arange(len(bounds)))
-        full = np.flatnonzero(np.diff(cuts))
-        for first, weights, maxima in self.shards:
-            sums = np.zeros((len(bounds), maxima.shape[1]), np.float32)
+        every = np.arange(len(bounds))
+        cuts = np.searchsorted(segment, every)
+        for shard in self.shards:
+            here, rows = _places(shard.terms, term)
+            own_cuts = np.searchsorted(segment[here], every)
+            full = np.flatnonzero(np.diff(own_cuts))
+            sums = np.zeros((len(bounds), len(shard.blocks)), np.float32)
             if len(full):
-                sums[full] = np.add.reduceat(maxima[term], cuts[full], axis=0)
-            passages, blocks = np.nonzero(sums[:-1] + sums[1:] >= LEAST_SCORE - 1e-4)
-            held = {}
-            for p, block in zip(passages.tolist(), blocks.tolist()):
-                own = held.get(p)
-                if own is None:
-                    held.clear()
-                    own = held[p] = np.unique(term[cuts[p] : cuts[min(p + 2, len(cuts) - 1)]])
-                lo = block * BLOCK_ITEMS
-                scores = weights[own, lo : lo + BLOCK_ITEMS].sum(axis=0)
-                for k in np.flatnonzero(scores >= LEAST_SCORE - 1e-6).tolist():
-                    found.append((p, first + lo + k, float(scores[k])))
+                sums[full] = np.add.reduceat(shard.maxima[rows], own_cuts[full], axis=0)
+            blocks, passages = np.nonzero((sums[:-1] + sums[1:] >= LEAST_SCORE - 1e-4).T)
+            bounds_of = np.searchsorted(blocks, np.arange(len(shard.blocks) + 1))
+            for block in np.flatnonzero(np.diff(bounds_of)).tolist():
+                held = passages[bounds_of[block] : bounds_of[block + 1]]
+                scores = shard.scores(block, term, cuts[held], cuts[np.minimum(held + 2, len(cuts) - 1)])
+                for at, k in zip(*[x.tolist() for x in np.nonzero(scores >= LEAST_SCORE - 1e-6)]):
+                    found.append((int(held[at]), shard.first + block * BLOCK_ITEMS + k, float(scores[at, k])))
         return found
 
     def verify(self, words: list[str], item: int) -> float:
@@ -188,13 +227,24 @@ class Index:
         return [[(self.ids[k], s, o) for k, (s, o) in sorted(found.items())] for found in out]
 
 
-def item_slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Test items in slices of about ``SLICE_BYTES``; a test suite is small against a corpus, and each slice is bounded."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // SLICE_BYTES))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in items.filter(part == k).collect()] for k in range(n)]
+class item_slices:
+    """Test items in slices of about ``SLICE_BYTES``, each collected when the iteration comes to it.
+
+    The index of a slice takes about 45 times its text in the memory of a worker.
+    """
+
+    def __init__(self, benchmark: DataFrame):
+        self.items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
+        total = self.items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.n = max(1, -(-total // SLICE_BYTES))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[list[tuple[int, str]]]:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n))
+        for k in range(self.n):
+            yield [(r[0], r[1]) for r in self.items.filter(part == k).collect()]
 
 
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
@@ -220,7 +270,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, "doc_id long, item_id long, score double, overlap double")
 
-    return reduce(DataFrame.unionAll, [searched(items) for items in item_slices(benchmark)])
+    return reduce(DataFrame.unionAll, map(searched, item_slices(benchmark)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
