@@ -2,9 +2,10 @@
 
 1. Every line that is not blank gets a hash; a document is its sequence of hashes.
 2. A line's holder is the document with the least id that has it. A document is aligned with the
-   holder of each of its lines if the two share a line that at most ``RARE`` documents have, or if
-   they share several lines: a single very common line does not make documents overlap. There are
-   no more pairs than lines, however common a line is or however many copies a document has.
+   holder of each of its lines if the lines they share have ``BLOCK_CHARS`` characters together,
+   repeats counted, however common they are. Under that, they are aligned if they share several
+   lines or one that at most ``RARE`` documents have. There are no more pairs than lines, however
+   common a line is or however many copies a document has.
 3. Patience diff: equal ends, then lines unique in both sequences, in the longest order that both
    keep, then the same between them. Runs of aligned lines, consecutive in both documents, of at
    least ``BLOCK_CHARS`` characters are deleted from the document with the larger id.
@@ -101,6 +102,22 @@ def _aligned(batches):
         ).filter(keep)
 
 
+def _held(batches):
+    """``(id, tag, h, chars)``: each distinct line of a document and the characters of all its places there."""
+    for batch in batches:
+        hs, ns = batch.column(2), batch.column(3)
+        doc = np.repeat(np.arange(len(batch)), np.diff(hs.offsets.to_numpy()))
+        h, chars = hs.flatten().to_numpy(), ns.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((h, doc))
+        doc, h, chars = doc[order], h[order], chars[order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
+        chars = np.add.reduceat(chars, first) if len(first) else chars
+        at = pa.array(doc[first])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[first]), pa.array(chars)], names=["id", "tag", "h", "chars"]
+        )
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
@@ -121,14 +138,14 @@ def removable_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
         F.transform("lines", lambda x: F.length(x)).alias("ns"),
     )
     seqs = materialize(seqs.filter(F.size("hs") > 0).dropDuplicates(["id", "tag"]), "lines")
-    held = seqs.select("id", "tag", F.explode(F.array_distinct("hs")).alias("h"))
+    held = seqs.mapInArrow(_held, "id long, tag long, h long, chars long")
     known = held.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("holder"), F.count("*").alias("n")).filter("n > 1")
     known = materialize(known, "shared-lines")  # read anew, so that a common line's rows can be split in the join
     shared = held.join(known, "h").filter(F.col("id") > F.col("holder.id"))
     pairs = (
         shared.groupBy("id", "tag", "holder")
-        .agg(F.count("*").alias("lines"), F.min("n").alias("rarest"))
-        .filter((F.col("lines") >= SEVERAL) | (F.col("rarest") <= rare))
+        .agg(F.count("*").alias("lines"), F.min("n").alias("rarest"), F.sum("chars").alias("chars"))
+        .filter((F.col("chars") >= BLOCK_CHARS) | (F.col("lines") >= SEVERAL) | (F.col("rarest") <= rare))
         .select("id", "tag", F.col("holder.id").alias("a_id"), F.col("holder.tag").alias("a_tag"))
     )
     first = seqs.select(F.col("id").alias("a_id"), F.col("tag").alias("a_tag"), F.col("hs").alias("a"))

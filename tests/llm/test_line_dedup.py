@@ -115,3 +115,10 @@ def test_edge_cases(spark):
     same = documents(spark, ["\n".join(base)] * 4, ids=[5, 5, None, None])
     left = sorted((r.doc_id is None, r.text == "") for r in ld.remove_lines(same).collect())
     assert left == [(False, False)] * 2 + [(True, True)] * 2
+
+
+def test_a_long_line_goes_however_common_it_is(spark):
+    long = "a line of well over fifty characters that very many documents have"
+    texts = [f"own {k}\n{long}\nlast {k}" for k in range(80)]
+    got = {r.doc_id: r.text for r in ld.remove_lines(documents(spark, texts)).collect()}
+    assert [k for k in range(80) if long in got[k]] == [0]
