@@ -4,8 +4,11 @@
 2. A line's holder is the document with the least id that has it. A document is aligned with the
    holder of each of its lines if the lines they share have ``BLOCK_CHARS`` characters together,
    repeats counted, however common they are. Under that, they are aligned if they share several
-   lines or one that at most ``RARE`` documents have. There are no more pairs than lines, however
-   common a line is or however many copies a document has.
+   lines or one that at most ``RARE`` documents have. A run of lines has a holder as well: from each
+   line on, and back from each line, the shortest run of ``BLOCK_CHARS`` characters. Any block that
+   two documents share is made of such runs, so a later document is aligned with the first that has
+   each. There are at most three pairs a line, however common it is or however many copies a
+   document has.
 3. Patience diff: equal ends, then lines unique in both sequences, in the longest order that both
    keep, then the same between them. Runs of aligned lines, consecutive in both documents, of at
    least ``BLOCK_CHARS`` characters are deleted from the document with the larger id.
@@ -102,12 +105,37 @@ def _aligned(batches):
         ).filter(keep)
 
 
+def shortest_runs(doc: np.ndarray, h: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, hash)`` of runs of several lines: the shortest of ``BLOCK_CHARS`` from each line on, and back from each.
+
+    Lines of one document follow each other, each with its hash and characters.
+    """
+    n = len(h)
+    ends = np.r_[0, np.cumsum(chars)]
+    after = np.searchsorted(ends, ends[:-1] + BLOCK_CHARS)  # where the run from each line ends
+    before = np.searchsorted(ends, ends[1:] - BLOCK_CHARS, "right") - 1  # where the run back from each begins
+    first, last = np.r_[np.arange(n), before], np.r_[after, np.arange(1, n + 1)]
+    keep = (first >= 0) & (last <= n) & (last - first > 1)
+    first, last = first[keep], last[keep]
+    keep = doc[first] == doc[last - 1]
+    first, last = first[keep], last[keep]
+    mixed = (h.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    run = np.zeros(len(first), np.uint64)
+    for k in range(int((last - first).max(initial=0))):  # at most BLOCK_CHARS lines, as none is empty
+        live = np.flatnonzero(first + k < last)
+        run[live] = (run[live] ^ (run[live] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[first[live] + k]
+    run ^= run >> np.uint64(32)
+    return doc[first], run.view(np.int64)
+
+
 def _held(batches):
-    """``(id, tag, h, chars)``: each distinct line of a document and the characters of all its places there."""
+    """``(id, tag, h, chars)``: each distinct line of a document and the characters of all its places there; each run of lines."""
     for batch in batches:
         hs, ns = batch.column(2), batch.column(3)
         doc = np.repeat(np.arange(len(batch)), np.diff(hs.offsets.to_numpy()))
         h, chars = hs.flatten().to_numpy(), ns.flatten().to_numpy().astype(np.int64)
+        run_doc, run = shortest_runs(doc, h, chars)
+        doc, h, chars = np.r_[doc, run_doc], np.r_[h, run], np.r_[chars, np.full(len(run), BLOCK_CHARS)]
         order = np.lexsort((h, doc))
         doc, h, chars = doc[order], h[order], chars[order]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])

@@ -122,3 +122,25 @@ def test_a_long_line_goes_however_common_it_is(spark):
     texts = [f"own {k}\n{long}\nlast {k}" for k in range(80)]
     got = {r.doc_id: r.text for r in ld.remove_lines(documents(spark, texts)).collect()}
     assert [k for k in range(80) if long in got[k]] == [0]
+
+
+def test_a_block_goes_whose_lines_have_other_holders(spark):
+    x, y, tail = "thirty letters make this line x", "thirty letters make this line y", "a tail"
+    texts = [f"{x}\nfirst", f"{y}\nsecond", f"{tail}\nthird", f"c\n{x}\n{y}\n{tail}\nd", f"e\n{x}\n{y}\n{tail}\nf", f"{y}\n{x}\nlast"]
+    got = [r.text for r in ld.remove_lines(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [*texts[:4], "e\nf", texts[5]]
+
+
+def test_shortest_runs_cover_every_block():
+    rng = random.Random(6)
+    for _ in range(200):
+        lines = [rng.choice([3, 20, 30, 49, 50, 70]) for _ in range(rng.randint(1, 9))]
+        block = [f"{n}" for n in lines]
+        held = []
+        for before, after in (("p", "q"), ("r", "s")):
+            names = [before, *block, after]
+            hs = ld.np.array([hash((k, x)) for k, x in enumerate(names)], ld.np.int64)
+            doc, run = ld.shortest_runs(ld.np.zeros(len(names), int), hs, ld.np.array([60, *lines, 60]))
+            held.append({*run.tolist(), *(h for h, n in zip(hs[1:-1].tolist(), lines) if n >= 50)})
+        several = sum(lines) >= 50
+        assert bool(held[0] & held[1]) == several
