@@ -10,7 +10,8 @@
    each. There are at most three pairs a line, however common it is or however many copies a
    document has.
 3. Patience diff: equal ends, then lines unique in both sequences, in the longest order that both
-   keep, then the same between them. Runs of aligned lines, consecutive in both documents, of at
+   keep, then the same between them. Where no line is unique in both, the common run of most
+   characters, if it has ``BLOCK_CHARS``, serves instead, so repeated passages are found too. Runs of aligned lines, consecutive in both documents, of at
    least ``BLOCK_CHARS`` characters are deleted from the document with the larger id.
 
 All decisions rest on the input texts. Nulls in ``doc_id`` form one last id; rows with equal ids
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,56 @@ def _longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) with a[i] == b[j], increasing in both."""
+def heaviest_run(a: list[int], b: list[int], lengths: list[int]) -> tuple[int, int, int, int]:
+    """(characters, i, j, n) of the common run a[i:i+n] == b[j:j+n] of most characters, nearest to b's middle among equals.
+
+    A suffix automaton of ``a`` is walked along ``b``.
+    """
+    following, link, size, end = [{}], [-1], [0], [-1]
+    last = 0
+    for i, x in enumerate(a):
+        new, p = len(size), last
+        following.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(i)
+        while p >= 0 and x not in following[p]:
+            following[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = following[p][x]
+            if size[q] != size[p] + 1:
+                copy = len(size)
+                following.append(dict(following[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                while p >= 0 and following[p].get(x) == q:
+                    following[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    total = [0, *accumulate(lengths)]
+    best, state, n = (0, 0, 0, 0, 0), 0, 0
+    for j, x in enumerate(b):
+        while state and x not in following[state]:
+            state = link[state]
+            n = size[state]
+        if x in following[state]:
+            state, n = following[state][x], n + 1
+            weight = total[j + 1] - total[j + 1 - n]
+            if weight >= best[0]:
+                best = max(best, (weight, -abs(2 * j - len(b)), end[state] - n + 1, j - n + 1, n))
+    weight, _, i, j, n = best
+    return weight, i, j, n
+
+
+def patience(a: list[int], b: list[int], lengths: list[int] | None = None, least: int = BLOCK_CHARS) -> list[tuple[int, int]]:
+    """Aligned places (i, j) with a[i] == b[j], increasing in both.
+
+    ``lengths``, of b's lines, lets runs of ``least`` characters serve where no line is unique in both.
+    """
     matched, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -73,7 +123,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         both = [(at[x], j) for j, x in enumerate(b[b0:b1], b0) if x in at]
         anchors = [both[k] for k in _longest_increasing([i for i, _ in both])]
         if not anchors:
-            continue
+            if lengths is None or sum(n for x, n in zip(b[b0:b1], lengths[b0:b1]) if x in in_a) < least:
+                continue
+            weight, i, j, n = heaviest_run(a[a0:a1], b[b0:b1], lengths[b0:b1])
+            if weight < least:
+                continue
+            anchors = [(a0 + i + k, b0 + j + k) for k in range(n)]
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)]):
             todo.append((i + 1, k, j + 1, m))
         matched += anchors
@@ -85,7 +140,7 @@ def common_blocks(a: list[int], b: list[int], lengths: list[int], least: int = B
     if a == b:
         return list(range(len(b))) if sum(lengths) >= least else []
     out, block = [], []
-    for i, j in [*patience(a, b), (-1, -1)]:
+    for i, j in [*patience(a, b, lengths, least), (-1, -1)]:
         if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
             block.append((i, j))
             continue

@@ -144,3 +144,32 @@ def test_shortest_runs_cover_every_block():
             held.append({*run.tolist(), *(h for h, n in zip(hs[1:-1].tolist(), lines) if n >= 50)})
         several = sum(lines) >= 50
         assert bool(held[0] & held[1]) == several
+
+
+def test_heaviest_run_on_random_sequences():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 14))] for _ in "ab")
+        lengths = [3 * x + 1 for x in b]
+        want = max(
+            (sum(lengths[j : j + n]) for i in range(len(a)) for j in range(len(b)) for n in range(1, 15) if a[i : i + n] == b[j : j + n]),
+            default=0,
+        )
+        weight, i, j, n = ld.heaviest_run(a, b, lengths)
+        assert weight == want == sum(lengths[j : j + n]) and a[i : i + n] == b[j : j + n]
+
+
+def test_repeated_passages_go(spark):
+    rng = random.Random(8)
+    for _ in range(200):  # no run of BLOCK_CHARS is left between neighbours of the alignment
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 14))] for _ in "ab")
+        lengths = [25] * len(b)
+        pairs = ld.patience(a, b, lengths)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:])) and all(a[i] == b[j] for i, j in pairs)
+        for (i, j), (k, m) in zip([(-1, -1), *pairs], [*pairs, (len(a), len(b))]):
+            assert ld.heaviest_run(a[i + 1 : k], b[j + 1 : m], lengths[j + 1 : m])[0] < 50
+    long = "a line of well over fifty characters that one document has"
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd\n{long}\ne"]
+    texts += ["f\n" + "xyz\n" * 40 + "g", "h\n" + "xyz\n" * 30 + "i"]
+    got = [r.text for r in ld.remove_lines(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[1].count(long) == 1 and got[2:] == [texts[2], "h\ni"]
