@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -60,17 +61,19 @@ def plane_outliers(points: DataFrame, plane, threshold: float) -> DataFrame:
     return points.filter(~(plane_distance(plane) < threshold))
 
 
-def extract_planes(points: DataFrame, threshold: float, most: int, least: int, iterations: int = 100, seed: int = 1, vertical: float | None = None, drop_share: float = 1.0, test_after: bool = False) -> DataFrame:
+def extract_planes(points: DataFrame, threshold: float, most: int | None = None, least: int = 1000, iterations: int = 100, seed: int = 1, vertical: float | None = None, drop_share: float = 1.0, test_after: bool = False) -> DataFrame:
     """(plane_id, a, b, c, d, point_id) of successive dominant planes.
 
-    Stops after ``most`` planes or when fewer than ``least`` points are left or support one; with
+    Stops after ``most`` planes, if given, or when fewer than ``least`` points are left or support one; with
     ``test_after`` that last small plane is kept. With ``vertical`` only planes with abs(normal z)
     under it are returned; of any other plane the share ``drop_share`` of inliers, least hash first,
-    is removed so that the search goes on.
+    is removed so that the search goes on, for as many rounds as it takes.
     """
+    if vertical is not None and not drop_share > 0:
+        raise ValueError("a plane that is not vertical must lose points, or the search never ends")
     spark = points.sparkSession
     found, left, k = [], points, 0
-    for round_ in range(most * 8):
+    for round_ in count():
         if k == most:
             break
         hit = ransac_plane(left, threshold, iterations, seed)

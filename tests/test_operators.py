@@ -156,6 +156,18 @@ def test_planes(spark):
     assert np.allclose(r @ np.array([0, 1, 0]), [1, 0, 0])
 
 
+def test_planes_are_searched_until_none_is_left(spark):
+    rng = np.random.default_rng(5)
+    floor = np.c_[rng.uniform(-1, 1, (3000, 2)), np.zeros(3000)]
+    walls_ = [np.c_[np.full(100, x), rng.uniform(-1, 1, 100), rng.uniform(0.1, 2, 100)] for x in (2.0, 4.0)]
+    p = cloud(spark, np.vstack([floor, *walls_]))
+    for most, want in ((1, 1), (None, 2)):
+        up = planes.extract_planes(p, 0.02, most, 60, iterations=60, vertical=0.3, drop_share=0.25)
+        assert up.select("plane_id").distinct().count() == want and up.filter("point_id >= 3000").count() >= 100 * want
+    with pytest.raises(ValueError):
+        planes.extract_planes(p, 0.02, 1, 60, vertical=0.3, drop_share=0.0)
+
+
 def test_weighted_split(spark):
     rows = [(1.0, 3), (2.0, 1), (10.0, 5), (11.0, 1), (1.0, 1)]
     r = planes.weighted_split(spark.createDataFrame(rows, "v double, w int")).first()
