@@ -4,7 +4,9 @@
    elements and implied end tags as HTML has them, stray end tags ignored.
 2. Elements are hashed with all they contain (tags, class and id, text). For each host Spark counts
    in how many different contents (hash of the page's main text) each hash occurs; copies of one
-   page count once. Hashes in ``TEMPLATE_PAGES`` or more contents are the host's template.
+   page count once. Hashes in ``TEMPLATE_PAGES`` or more contents are the host's template; within
+   what a page's text is taken from, they must also be in ``TEMPLATE_SHARE`` of the host's contents,
+   so a list or section that some of many articles share stays.
 3. Text is taken from ``article`` elements if there are any, else from ``main``, else the body.
    Dropped are template subtrees, elements that do not hold article text by their tag, and those
    marked by role, class or id as menus, notices, adverts, comments and the like. Within what the
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from lattica.session import materialize
 
 TEMPLATE_PAGES = 5
+TEMPLATE_SHARE = 0.5
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -267,8 +270,8 @@ def extract(html: str | None, template: list[int] | None = None) -> str:
     return text_of(main_elements(root, gone, hashes), gone, hashes)
 
 
-def candidates(html: str | None) -> tuple[int, list[tuple[int, bool]]]:
-    """The hash of the page's content, and (subtree hash, dropped anyway) of what may be template.
+def candidates(html: str | None) -> tuple[int, list[tuple[int, tuple[bool, bool]]]]:
+    """The hash of the page's content, and (subtree hash, (dropped anyway, within main elements)) of what may be template.
 
     Those are all elements with text outside the main elements, of dropped ones the outermost, and
     containers within the main elements.
@@ -281,16 +284,17 @@ def candidates(html: str | None) -> tuple[int, list[tuple[int, bool]]]:
     content = xxhash.xxh64_intdigest(text_of(main)) >> 1
     bare = main[0].tag in ("body", "#root")
     mains = {id(e) for e in main}
-    found: dict[int, bool] = {}
+    found: dict[int, tuple[bool, bool]] = {}
     todo = [(root, False)]
     while todo:
         e, within = todo.pop()
         top = id(e) in mains
         if not top and e.tag not in ("#root", "html", "head", "body") and e.children:
             if e.dropped and e.tag not in RAW:
-                found[hashes[id(e)]] = True
+                found[hashes[id(e)]] = True, within
             elif not e.dropped and (not within or e.tag in CONTAINERS):
-                found[hashes[id(e)]] = False
+                h = hashes[id(e)]
+                found[h] = False, within or found.get(h, (False, False))[1]
         if not e.dropped:
             todo += [(c, within or (top and not bare) or bare) for c in e.children if not isinstance(c, str)]
     return content, list(found.items())
@@ -298,15 +302,20 @@ def candidates(html: str | None) -> tuple[int, list[tuple[int, bool]]]:
 
 def _candidate_rows(batches):
     for batch in batches:
-        out = {"row": [], "host": [], "content": [], "subtree": [], "dropped": []}
+        out = {"row": [], "host": [], "content": [], "subtree": [], "dropped": [], "within": []}
         for row, host, html in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             content, found = candidates(html)
-            for subtree, dropped in found:
-                for name, value in zip(out, (row, host, content, subtree, dropped)):
+            if html:
+                found.append((None, (False, False)))  # the page itself
+            for subtree, (dropped, within) in found:
+                for name, value in zip(out, (row, host, content, subtree, dropped, within)):
                     out[name].append(value)
         yield pa.RecordBatch.from_pydict(
             out,
-            pa.schema([("row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("subtree", pa.int64()), ("dropped", pa.bool_())]),
+            pa.schema(
+                [("row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("subtree", pa.int64())]
+                + [("dropped", pa.bool_()), ("within", pa.bool_())]
+            ),
         )
 
 
@@ -327,21 +336,19 @@ def _prepared(pages: DataFrame) -> DataFrame:
     )
 
 
-def template_subtrees(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
+def template_subtrees(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """``(row, subtree, dropped)``: the template subtrees of each page, row a hash of the page's row."""
     prepared = _prepared(pages)
     found = prepared.select("row", "host", "html").mapInArrow(
-        _candidate_rows, "row long, host string, content long, subtree long, dropped boolean"
+        _candidate_rows, "row long, host string, content long, subtree long, dropped boolean, within boolean"
     )
     found = materialize(found, "subtrees")
-    counted = (
-        found.select("host", "subtree", "content")
-        .distinct()
-        .groupBy("host", "subtree")
-        .agg(F.count("*").alias("contents"))
-        .filter(F.col("contents") >= least)
-    )
-    return found.join(counted, ["host", "subtree"]).select("row", "subtree", "dropped")
+    counted = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("contents"))
+    counted = materialize(counted.filter(F.col("contents") >= least), "counted")
+    every = counted.filter("subtree IS NULL").select("host", F.col("contents").alias("every"))
+    common = counted.filter("subtree IS NOT NULL").join(every, "host")
+    kept = ~F.col("within") | (F.col("contents") >= share * F.col("every"))
+    return found.join(common, ["host", "subtree"]).filter(kept).select("row", "subtree", "dropped")
 
 
 def extract_pages(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:

@@ -84,3 +84,15 @@ def test_template_is_removed_and_copies_stay(spark):
         assert got[300 + k] == f"{k}\nWe end"
     assert ht.extract_pages(pages.limit(0)).count() == 0
     assert ht.extract_pages(pages.unionAll(pages)).count() == 2 * len(rows)
+
+
+def test_what_some_articles_of_a_host_share_stays(spark):
+    shared = "<section><p>A passage that five edited copies share</p></section><ul><li>one</li></ul>"
+    box = "<div>Read more of us</div>"
+    rows = [(k, "http://a.example/", f"<article><h1>{k}</h1>{shared if k < 5 else ''}{box}</article>") for k in range(20)]
+    rows += [(100 + k, "http://b.example/", f"<body><p>{k}</p>{shared if k < 5 else ''}{box}</body>") for k in range(20)]
+    rows += [(200 + k, "http://a.example/", f"<article><h1>{k}</h1>{box}</article>") for k in range(20)]  # copies count once
+    got = {r.page_id: r.text for r in ht.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(20):
+        want = f"{k}\nA passage that five edited copies share\none" if k < 5 else f"{k}"
+        assert got[k] == got[100 + k] == want
