@@ -5,6 +5,7 @@ import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +66,8 @@ def test_whole_table_finds_every_contained_item(spark):
     assert all(r.score >= 0.49 and r.overlap >= 0.8 for r in rows)
 
 
-@pytest.mark.parametrize("shard, block", [(512, 8), (5, 2)])
-def test_random_texts_equal_brute_force(monkeypatch, shard, block):
-    monkeypatch.setattr(dc, "SHARD_ITEMS", shard)
+@pytest.mark.parametrize("block", [8, 2, 1])
+def test_random_texts_equal_brute_force(monkeypatch, block):
     monkeypatch.setattr(dc, "BLOCK_ITEMS", block)
     monkeypatch.setattr(dc, "BATCH_WORDS", 150)
     rng = random.Random(9)
@@ -86,19 +86,24 @@ def test_random_texts_equal_brute_force(monkeypatch, shard, block):
     assert sum(map(len, got)) > 20
 
 
-def test_retrieval_reaches_every_item_over_the_threshold():
+def test_retrieval_reaches_every_item_over_the_threshold_and_skips_the_rest(monkeypatch):
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(40)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(10))) for k in range(30)]
-    index = dc.Index(items)
-    for _ in range(50):
-        passage = [rng.choice(vocabulary) for _ in range(18)]
-        import numpy as np
-
-        ids = np.array([index.terms[w] for w in passage if w in index.terms])
-        got = {k for _, k, _ in index.retrieve(ids, np.array([0, len(ids)]))}
-        scores = brute_bm25([t for _, t in items], set(passage))
-        assert {k for k, s in enumerate(scores) if s >= 0.5 + 1e-5} <= got <= {k for k, s in enumerate(scores) if s >= 0.5 - 1e-5}
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 20)))) for k in range(200)]
+    index, scored = dc.Index(items), []
+    whole = dc.Index._scored
+    monkeypatch.setattr(dc.Index, "_scored", lambda self, p, c, least: scored.append(len(np.unique(p))) or whole(self, p, c, least))
+    passages = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 9))] for _ in range(150)]
+    pairs = sorted({(k, index.terms[w]) for k, words in enumerate(passages) for w in words if w in index.terms})
+    for least in (0.5, 0.3, 0.9):
+        found = index.retrieve(*(np.array(x) for x in zip(*pairs)), least)
+        got = {(p, index.ids[i]): s for p, i, s in found}
+        assert len(got) == len(found)
+        for k, words in enumerate(passages):
+            scores = brute_bm25([t for _, t in items], set(words))
+            assert {i for i, s in enumerate(scores) if s >= least + 1e-5} <= {i for p, i in got if p == k} <= {i for i, s in enumerate(scores) if s >= least - 1e-5}
+            assert all(abs(got[k, i] - s) < 1e-9 for i, s in enumerate(scores) if (k, i) in got)
+    assert sum(scored) < 0.5 * 3 * len(passages) * index.end  # most blocks are passed over without being scored
 
 
 def test_edge_cases(spark):
@@ -115,13 +120,25 @@ def test_edge_cases(spark):
     assert dc.clean(docs, bench.limit(0)).count() == 7
 
 
-def test_slices_cover_all_items(spark, monkeypatch):
-    monkeypatch.setattr(dc, "SLICE_BYTES", 60)
-    items = [(k, f"question number {k} asks about thing {k * 7} and wants word {k * 3}") for k in range(12)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+def test_slices_change_neither_hits_nor_scores(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(80)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30)))) for k in range(60)]
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    texts = [t for _, t in items] + ["nothing"]
+    for _ in range(80):  # quotes in part, near both thresholds
+        words = rng.choice(items)[1].split()
+        for k in range(len(words)):
+            if rng.random() < 0.04:
+                words[k] = rng.choice(vocabulary)
+        texts.append(" ".join(words[rng.randint(0, 2) : len(words) - rng.randint(0, 4)] + [rng.choice(vocabulary) for _ in range(50)]))
+    docs = documents(spark, texts)
+    whole = sorted(map(tuple, dc.contaminated(docs, bench).collect()))
+    kept = sorted(r.doc_id for r in dc.clean(docs, bench).collect())
+    monkeypatch.setattr(dc, "SLICE_BYTES", 600)
     slices = dc.item_slices(bench)
-    assert len(slices) > 3 and sorted(x for s in slices for x in s) == items
-    docs = documents(spark, [t for _, t in items] + ["nothing"])
-    found = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
-    assert {(k, k) for k in range(12)} <= found and 12 not in {d for d, _ in found}
-    assert [r.doc_id for r in dc.clean(docs, bench).collect()] == [12]
+    assert len(slices) > 5 and sorted(x for s, _ in slices for x in s) == items
+    assert {(stats.items, stats.longest) for _, stats in slices} == {(60, max(len(t.split()) for _, t in items))}
+    assert sorted(map(tuple, dc.contaminated(docs, bench).collect())) == whole
+    assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == kept
+    assert {(k, k) for k in range(60)} <= {x[:2] for x in whole} and 60 in kept and 70 < len(whole)
