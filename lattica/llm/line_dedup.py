@@ -1,18 +1,23 @@
-"""Line deduplication by patience diff of documents that share rare lines.
-
-1. Every line that is not blank gets a hash; a document is its sequence of hashes.
-2. A line's holder is the document with the least id that has it. A document is aligned with the
-   holder of each of its lines if the lines they share have ``BLOCK_CHARS`` characters together,
-   repeats counted, however common they are. Under that, they are aligned if they share several
-   lines or one that at most ``RARE`` documents have. A run of lines has a holder as well: from each
-   line on, and back from each line, the shortest run of ``BLOCK_CHARS`` characters. Any block that
-   two documents share is made of such runs, so a later document is aligned with the first that has
-   each. There are at most three pairs a line, however common it is or however many copies a
-   document has.
+"""Line deduplication by patience diff of documents that share passages of whole lines.
+
+1. Every line that is not blank gets a hash; a document is its sequence of hashes. Equal sequences
+   form one class, whose first documents, those of its least id, stand for it; its later documents
+   lose all lines, if these have ``BLOCK_CHARS`` characters together.
+2. A document is aligned with every earlier one that is the first to have one of its passages: from
+   each line on, and back from each line, the shortest run of lines with ``BLOCK_CHARS`` characters
+   (one line, if it is that long). Any block that two documents share is made of such passages, so
+   whatever an earlier document has, the first holder of its passages has. There are at most two
+   partners a line, however common or rare the passage is and however many documents hold it.
 3. Patience diff: equal ends, then lines unique in both sequences, in the longest order that both
    keep, then the same between them. Where no line is unique in both, the common run of most
-   characters, if it has ``BLOCK_CHARS``, serves instead, so repeated passages are found too. Runs of aligned lines, consecutive in both documents, of at
-   least ``BLOCK_CHARS`` characters are deleted from the document with the larger id.
+   characters, if it has ``BLOCK_CHARS``, serves instead. Runs of aligned lines, consecutive in both
+   documents, of at least ``BLOCK_CHARS`` characters are deleted from the document with the larger
+   id. What is left of it between them is aligned again with the whole earlier document, until
+   nothing more is found, so passages that stand in another order, or more often, go as well.
+
+A line thus goes if it is in a run of lines of ``BLOCK_CHARS`` characters that an earlier document
+has as well. (What may stay of such runs are under ``BLOCK_CHARS`` characters at an end of a run
+that overlaps another one, if the same earlier document is the first with both and has them apart.)
 
 All decisions rest on the input texts. Nulls in ``doc_id`` form one last id; rows with equal ids
 are not compared with each other. A null text has no lines and stays null. Other columns are kept
@@ -27,15 +32,15 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.llm.columns import unused
 from lattica.session import materialize
 
-RARE = 64
-SEVERAL = 2
 BLOCK_CHARS = 50
+SALTS = 32
 NULL_ID = 2**63 - 1
 
 
@@ -139,29 +144,42 @@ def common_blocks(a: list[int], b: list[int], lengths: list[int], least: int = B
     """Places of b in aligned blocks of at least ``least`` characters; ``lengths``: of b's lines."""
     if a == b:
         return list(range(len(b))) if sum(lengths) >= least else []
-    out, block = [], []
-    for i, j in [*patience(a, b, lengths, least), (-1, -1)]:
-        if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
-            block.append((i, j))
+    known, out = set(a), []
+    todo = [(0, len(b))]
+    while todo:
+        lo, hi = todo.pop()
+        if sum(n for x, n in zip(b[lo:hi], lengths[lo:hi]) if x in known) < least:
             continue
-        if sum(lengths[y] for _, y in block) >= least:
-            out += [y for _, y in block]
-        block = [(i, j)]
-    return out
+        blocks, block = [], []
+        for i, j in [*patience(a, b[lo:hi], lengths[lo:hi], least), (-1, -1)]:
+            if block and (i, j) == (block[-1][0] + 1, block[-1][1] + 1):
+                block.append((i, j))
+                continue
+            if sum(lengths[lo + y] for _, y in block) >= least:
+                blocks.append((lo + block[0][1], lo + block[-1][1] + 1))
+            block = [(i, j)]
+        if not blocks:
+            weight, _, j, n = heaviest_run(a, b[lo:hi], lengths[lo:hi])
+            if weight < least:
+                continue
+            blocks = [(lo + j, lo + j + n)]
+        for x, y in blocks:
+            out += range(x, y)
+        todo += [(x, y) for (_, x), (y, _) in zip([(0, lo), *blocks], [*blocks, (hi, 0)]) if x < y]
+    return sorted(out)
 
 
 def _aligned(batches):
     for batch in batches:
-        ids, tags = batch.column(0), batch.column(1)
         found = [common_blocks(a, b, n) for a, b, n in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)])]
         keep = pa.array([bool(x) for x in found], pa.bool_())
         yield pa.RecordBatch.from_arrays(
-            [ids, tags, pa.array(found, pa.list_(pa.int32()))], names=["id", "tag", "places"]
+            [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "tag", "places"]
         ).filter(keep)
 
 
 def shortest_runs(doc: np.ndarray, h: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, hash)`` of runs of several lines: the shortest of ``BLOCK_CHARS`` from each line on, and back from each.
+    """``(document, hash)`` of passages: the shortest runs of ``BLOCK_CHARS`` from each line on, and back from each.
 
     Lines of one document follow each other, each with its hash and characters.
     """
@@ -170,7 +188,7 @@ def shortest_runs(doc: np.ndarray, h: np.ndarray, chars: np.ndarray) -> tuple[np
     after = np.searchsorted(ends, ends[:-1] + BLOCK_CHARS)  # where the run from each line ends
     before = np.searchsorted(ends, ends[1:] - BLOCK_CHARS, "right") - 1  # where the run back from each begins
     first, last = np.r_[np.arange(n), before], np.r_[after, np.arange(1, n + 1)]
-    keep = (first >= 0) & (last <= n) & (last - first > 1)
+    keep = (first >= 0) & (last <= n)
     first, last = first[keep], last[keep]
     keep = doc[first] == doc[last - 1]
     first, last = first[keep], last[keep]
@@ -184,57 +202,59 @@ def shortest_runs(doc: np.ndarray, h: np.ndarray, chars: np.ndarray) -> tuple[np
 
 
 def _held(batches):
-    """``(id, tag, h, chars)``: each distinct line of a document and the characters of all its places there; each run of lines."""
+    """``(id, tag, h)``: each distinct passage of a document."""
     for batch in batches:
         hs, ns = batch.column(2), batch.column(3)
         doc = np.repeat(np.arange(len(batch)), np.diff(hs.offsets.to_numpy()))
-        h, chars = hs.flatten().to_numpy(), ns.flatten().to_numpy().astype(np.int64)
-        run_doc, run = shortest_runs(doc, h, chars)
-        doc, h, chars = np.r_[doc, run_doc], np.r_[h, run], np.r_[chars, np.full(len(run), BLOCK_CHARS)]
+        doc, h = shortest_runs(doc, hs.flatten().to_numpy(), ns.flatten().to_numpy().astype(np.int64))
         order = np.lexsort((h, doc))
-        doc, h, chars = doc[order], h[order], chars[order]
+        doc, h = doc[order], h[order]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
-        chars = np.add.reduceat(chars, first) if len(first) else chars
         at = pa.array(doc[first])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[first]), pa.array(chars)], names=["id", "tag", "h", "chars"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[first])], names=["id", "tag", "h"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
-            "_tag": F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)),
-        }
-    )
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
-def removable_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """``(id, tag, places)``: places, among the lines that are not blank, of the lines to delete."""
-    keyed = _keyed(docs.select("doc_id", "text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    seqs = keyed.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), lines.alias("lines")).select(
-        "id",
-        "tag",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"),
-        F.transform("lines", lambda x: F.length(x)).alias("ns"),
-    )
-    seqs = materialize(seqs.filter(F.size("hs") > 0).dropDuplicates(["id", "tag"]), "lines")
-    held = seqs.mapInArrow(_held, "id long, tag long, h long, chars long")
-    known = held.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("holder"), F.count("*").alias("n")).filter("n > 1")
-    known = materialize(known, "shared-lines")  # read anew, so that a common line's rows can be split in the join
-    shared = held.join(known, "h").filter(F.col("id") > F.col("holder.id"))
-    pairs = (
-        shared.groupBy("id", "tag", "holder")
-        .agg(F.count("*").alias("lines"), F.min("n").alias("rarest"), F.sum("chars").alias("chars"))
-        .filter((F.col("chars") >= BLOCK_CHARS) | (F.col("lines") >= SEVERAL) | (F.col("rarest") <= rare))
-        .select("id", "tag", F.col("holder.id").alias("a_id"), F.col("holder.tag").alias("a_tag"))
+def _hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
+def _lines() -> Column:
+    return F.filter(F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def removable_lines(docs: DataFrame) -> DataFrame:
+    """``(id, tag, places)``: places, among the lines that are not blank, of the lines to delete.
+
+    ``tag`` is the hash of a document's sequence of line hashes.
+    """
+    seqs = docs.select(_id().alias("id"), _lines().alias("lines")).filter(F.size("lines") > 0)
+    seqs = seqs.select("id", _hashes(F.col("lines")).alias("hs"), F.transform("lines", lambda x: F.length(x)).alias("ns"))
+    seqs = seqs.select("id", F.xxhash64("hs").alias("tag"), F.xxhash64(F.lit(1), F.reverse("hs")).alias("tag2"), "hs", "ns")
+    seqs = materialize(seqs, "lines")
+    classes = seqs.groupBy("tag", "tag2").agg(
+        F.min("id").alias("id"), F.max("id").alias("last"), F.any_value("hs").alias("hs"), F.any_value("ns").alias("ns")
     )
-    first = seqs.select(F.col("id").alias("a_id"), F.col("tag").alias("a_tag"), F.col("hs").alias("a"))
-    sides = pairs.join(first, ["a_id", "a_tag"]).join(seqs, ["id", "tag"]).select("id", "tag", "a", "hs", "ns")
+    classes = materialize(classes, "line-classes")
+    chars = F.aggregate("ns", F.lit(0).cast("long"), lambda n, x: n + x)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # rows of one class are many
+    several = classes.filter((F.col("last") > F.col("id")) & (chars >= BLOCK_CHARS)).select("tag", "tag2", F.col("id").alias("first"), salts)
+    copies = seqs.select("id", "tag", "tag2", F.size("hs").alias("n"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = copies.join(several, ["tag", "tag2", "salt"]).filter("id > first").select("id", "tag", "n").distinct()
+    copies = copies.select("id", "tag", F.sequence(F.lit(0), F.col("n") - 1).alias("places"))
+
+    held = classes.select("id", "tag", "hs", "ns").mapInArrow(_held, "id long, tag long, h long")
+    known = held.groupBy("h").agg(F.min(F.struct("id", "tag")).alias("holder"), F.count("*").alias("n")).filter("n > 1").select("h", "holder")
+    known = materialize(known, "passages")  # read anew, so that a common passage's rows can be split in the join
+    pairs = held.join(known, "h").filter(F.col("id") > F.col("holder.id")).select("id", "tag", F.col("holder.id").alias("a_id"), F.col("holder.tag").alias("a_tag"))
+    first = classes.select(F.col("id").alias("a_id"), F.col("tag").alias("a_tag"), F.col("hs").alias("a"))
+    sides = pairs.distinct().join(first, ["a_id", "a_tag"]).join(classes, ["id", "tag"]).select("id", "tag", "a", "hs", "ns")
     found = sides.mapInArrow(_aligned, "id long, tag long, places array<int>")
-    return found.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    found = found.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    return found.unionAll(copies)
 
 
 def _cut(text_at: int, places_at: int):
@@ -258,20 +278,25 @@ def _cut(text_at: int, places_at: int):
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())
             columns[places_at] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            names = [*batch.schema.names[:places_at], "_spans", "_lines"]
-            yield pa.RecordBatch.from_arrays([*columns[: places_at + 1], pa.array(counts, pa.int64())], names=names)
+            columns = [*columns[: places_at + 1], pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     return run
 
 
-def remove_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """``docs`` with the deleted lines cut from ``text``, and ``_spans`` (intervals of lines cut), ``_lines`` (before)."""
+def remove_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the deleted lines cut from ``text``, and ``_spans`` (intervals of lines cut), ``_lines`` (before).
+
+    These two names get further underscores in front if ``docs`` has such columns.
+    """
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    gone = removable_lines(docs, rare)
-    keyed = _keyed(docs)
-    joined = keyed.join(
-        gone.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_places")), ["_id", "_tag"], "left"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_places")
+    gone = materialize(removable_lines(docs), "cut-lines")
+    # columns go by place, so that none can clash with a name used here
+    rows = docs.select(_id().alias("id"), F.xxhash64(_hashes(_lines())).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(gone, ["id", "tag"], "left")
+    rows = rows.select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], "places")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_spans", span), T.StructField("_lines", T.LongType())])
-    return joined.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns)), schema)
+    added = zip(unused(["_spans", "_lines"], docs.columns), (span, T.LongType()))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    by_place = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    return rows.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns)), by_place).toDF(*schema.names)
