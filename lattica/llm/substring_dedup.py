@@ -6,21 +6,26 @@ the input texts.
 
 1. Each window gets two polynomial hashes over its words' hashes. One picks a bucket, the other is
    sent there, so a false repeat needs both to agree (64 bits and log2 of the number of buckets).
+   The windows are counted first, and the number of buckets follows from that: a bucket, which one
+   task holds, gets about ``BUCKET_WINDOWS[0]`` of them, at the very largest inputs up to
+   ``BUCKET_WINDOWS[1]``.
 2. Windows travel packed: one row for a batch of documents and a bucket holds arrays. A window that
    repeats inside its document, or whose sequence has a smaller id in the same batch, is known to
    go and its hash is not sent: a very frequent window costs one entry a batch.
-3. A bucket sorts its hashes, and answers with bits per document. The number of buckets follows
-   ``spark.sql.shuffle.partitions``, so a bucket's share of all windows stays bounded.
-4. Each document joins its bits, derives its windows again and merges the windows that go into
-   maximal intervals.
+3. A bucket sorts its hashes, and answers with bits per document.
+4. Each document joins its bits, finds the places of the bucket's windows again and merges the
+   windows that go into maximal intervals.
 
 A null text has no words. Rows with a null id form one last document id. Rows that share an id,
-repeated rows too, are neither earlier nor later than each other. Texts of fewer than ``WINDOW``
-words keep all. Input columns other than ``doc_id`` and ``text`` are ignored.
+repeated rows too, are neither earlier nor later than each other; where ids repeat or are null, rows
+are told apart by a 64-bit hash of their text as well, and of null ids by two. Texts of fewer than
+``WINDOW`` words keep all. Input columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,8 +36,10 @@ from lattica.session import materialize, release_shuffles
 
 WINDOW = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-LEAST_BUCKETS = 64
-BATCH_WINDOWS = 1 << 20
+BUCKET_WINDOWS = (1 << 21, 1 << 24)
+MOST_SMALL_BUCKETS = 1 << 12
+BATCH_WINDOWS = (1 << 20, 1 << 23)
+ROW_WINDOWS = 256
 CACHED_WORDS = 1 << 18
 NULL_ID = 2**63 - 1
 
@@ -69,79 +76,100 @@ def rolling(x: np.ndarray, width: int, base: int) -> np.ndarray:
         span *= 2
 
 
-class Windows:
-    """The distinct windows of one text, in order of their first start."""
-
-    def __init__(self, words: list[bytes], hashes: WordHashes, buckets: int, width: int):
-        n = len(words) - width + 1
-        self.count = max(n, 0)
-        if n <= 0:
-            self.first, self.hash, self.bucket = np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-            return
-        x = hashes.array(words)
-        h = rolling(x, width, BASES[0])
-        b = ((rolling(x, width, BASES[1]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort((b, h)) if n > 1 else np.zeros(1, np.int64)
-        self.first = np.ones(n, bool)
-        same = (h[order[1:]] == h[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-        self.first[order[1:][same]] = False  # lexsort is stable: the first start leads its run
-        self.hash, self.bucket = h[self.first], b[self.first]
-
-
-def _sent_rows(docs, buckets):
-    """Rows of one batch; docs: (id, tag, Windows)."""
-    docs = sorted(docs, key=lambda d: d[0])
-    ids = np.array([d[0] for d in docs], np.int64)
-    tags = np.array([d[1] for d in docs], np.int32)
-    h = np.concatenate([d[2].hash for d in docs])
-    b = np.concatenate([d[2].bucket for d in docs])
-    at = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[2].hash) for d in docs])
-    order = np.lexsort((h, b))
-    h, b, at = h[order], b[order], at[order]
-    own = ids[at]
-    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])])
-    known = own > np.repeat(own[starts], np.diff(np.r_[starts, len(h)]))
-    back = np.lexsort((order, b))  # by bucket, then document, then place
-    h, b, at, known = h[back], b[back], at[back], known[back]
-    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
-    for lo, hi in zip(cuts, cuts[1:]):
-        d = at[lo:hi]
-        heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        counts = np.diff(np.r_[heads, hi - lo]).astype(np.int32)
-        held = known[lo:hi]
-        yield {
-            "bucket": int(b[lo]),
-            "ids": ids[d[heads]].tobytes(),
-            "tags": tags[d[heads]].tobytes(),
-            "counts": counts.tobytes(),
-            "known": np.packbits(held).tobytes(),
-            "hashes": h[lo:hi][~held].tobytes(),
-        }
+def window_buckets(x: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """The bucket of every window of word hashes."""
+    b = (rolling(x, width, BASES[1]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return b.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)  # 16 bits sort faster
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.uint64)
+
+
+class Batch:
+    """Documents, in order of their ids, whose windows are sent together.
+
+    A document: its place in the order of ids, the key and tag that tell it apart, its word hashes.
+    """
+
+    def __init__(self):
+        self.docs: list[tuple[int, int, int, np.ndarray]] = []
+        self.windows = 0
+
+    def add(self, order: int, key: int, tag: int, x: np.ndarray, width: int) -> None:
+        if len(x) >= width:
+            self.docs.append((order, key, tag, x))
+            self.windows += len(x) - width + 1
+
+    def rows(self, buckets: int, width: int, tagged: bool) -> Iterator[dict]:
+        """One row for each bucket that has a window of the batch."""
+        self.docs.sort(key=lambda d: d[:3])
+        order, key, tag = (np.array([d[k] for d in self.docs], np.int64) for k in range(3))
+        sizes = np.array([len(d[3]) for d in self.docs])
+        x = np.concatenate([d[3] for d in self.docs])
+        begins = np.cumsum(sizes) - sizes
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - width + 1)
+        counts = sizes - width + 1
+        place = np.arange(len(doc)) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+        h, b = rolling(x, width, BASES[0])[place], window_buckets(x, buckets, width)[place]
+        by_bucket = np.argsort(b, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(b[by_bucket])) + 1, len(b)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = by_bucket[lo:hi]
+            hashes, at = h[own], doc[own]
+            sort = np.argsort(hashes, kind="stable")
+            runs, owner = hashes[sort], at[sort]
+            new = np.r_[True, runs[1:] != runs[:-1]]
+            least = order[owner[np.flatnonzero(new)]][np.cumsum(new) - 1]
+            known = np.empty(hi - lo, bool)
+            known[sort] = (order[owner] > least) | np.r_[False, (owner[1:] == owner[:-1]) & ~new[1:]]
+            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            held = at[heads]
+            keys = key[held].view(np.uint64)
+            yield {
+                "bucket": int(b[own[0]]),
+                "docs": len(heads),
+                "orders": _packed(np.diff(order[held].view(np.uint64), prepend=order[held[:1]].view(np.uint64))),
+                "least": int(order[held[0]]),
+                "keys": keys.tobytes() if tagged else b"",
+                "tags": tag[held].tobytes() if tagged else b"",
+                "counts": _packed(np.diff(np.r_[heads, hi - lo])),
+                "known": np.packbits(known).tobytes(),
+                "hashes": hashes[~known].tobytes(),
+            }
 
 
 SENT = pa.schema(
-    [("bucket", pa.int32())] + [(name, pa.binary()) for name in ("ids", "tags", "counts", "known", "hashes")]
+    [("bucket", pa.int32()), ("docs", pa.int32()), ("least", pa.int64())]
+    + [(name, pa.binary()) for name in ("orders", "keys", "tags", "counts", "known", "hashes")]
 )
-SENT_DDL = "bucket int, ids binary, tags binary, counts binary, known binary, hashes binary"
-ANSWER = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-ANSWER_DDL = "id long, tag int, bucket int, bits binary"
+SENT_DDL = "bucket int, docs int, least long, orders binary, keys binary, tags binary, counts binary, known binary, hashes binary"
+ANSWER = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+ANSWER_DDL = "key long, tag long, bucket int, bits binary"
 
 
-def _send(buckets, width):
+def _send(buckets, width, tagged, batch_windows):
     def run(batches):
-        hashes, docs, held = WordHashes(), [], 0
+        hashes, held = WordHashes(), Batch()
+
+        def sent():
+            return pa.RecordBatch.from_pylist(list(held.rows(buckets, width, tagged)), SENT)
+
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            for id_, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                w = Windows(text.as_py().split() if text.is_valid else [], hashes, buckets, width)
-                if len(w.hash):
-                    docs.append((id_, tag, w))
-                    held += len(w.hash)
-                if held >= BATCH_WINDOWS:
-                    yield pa.RecordBatch.from_pylist(list(_sent_rows(docs, buckets)), SENT)
-                    docs, held = [], 0
-        if docs:
-            yield pa.RecordBatch.from_pylist(list(_sent_rows(docs, buckets)), SENT)
+            texts = batch.column(3).cast(pa.binary())
+            for order, key, tag, text in zip(*[batch.column(k).to_pylist() for k in range(3)], texts):
+                if text.is_valid:
+                    held.add(order, key, tag, hashes.array(text.as_py().split()), width)
+                if held.windows >= batch_windows:
+                    yield sent()
+                    held = Batch()
+        if held.docs:
+            yield sent()
 
     return run
 
@@ -150,20 +178,23 @@ def _answer(table: pa.Table) -> pa.Table:
     """All rows of one bucket to bits for each document with a window that goes."""
     rows, hashes, owners = [], [], []
     for r in table.to_pylist():
-        ids = np.frombuffer(r["ids"], np.int64)
-        counts = np.frombuffer(r["counts"], np.int32)
+        n = r["docs"]
+        order = (np.uint64(r["least"] % 2**64) + np.cumsum(_unpacked(r["orders"], n), dtype=np.uint64)).view(np.int64)
+        counts = _unpacked(r["counts"], n).astype(np.int64)
         known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=int(counts.sum())).astype(bool)
-        rows.append((r["bucket"], ids, np.frombuffer(r["tags"], np.int32), counts, known))
+        key = np.frombuffer(r["keys"], np.int64) if r["keys"] else order
+        tag = np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(n, np.int64)
+        rows.append((r["bucket"], key, tag, counts, known))
         hashes.append(np.frombuffer(r["hashes"], np.uint64))
-        owners.append(np.repeat(ids, counts)[~known])
+        owners.append(np.repeat(order, counts)[~known])
     h, own = np.concatenate(hashes), np.concatenate(owners)
     order = np.lexsort((own, h))
     h, own = h[order], own[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     later = np.zeros(len(h), bool)
     later[order] = own > np.repeat(own[starts], np.diff(np.r_[starts, len(h)]))
-    out, used = {"id": [], "tag": [], "bucket": [], "bits": []}, 0
-    for bucket, ids, tags, counts, known in rows:
+    out, used = {"key": [], "tag": [], "bucket": [], "bits": []}, 0
+    for bucket, key, tag, counts, known in rows:
         n = int((~known).sum())
         goes = known.copy()
         goes[~known] = later[used : used + n]
@@ -171,27 +202,23 @@ def _answer(table: pa.Table) -> pa.Table:
         ends = np.cumsum(counts)
         begins = ends - counts
         for k in np.flatnonzero(np.add.reduceat(goes, begins, dtype=np.int64)):
-            out["id"].append(int(ids[k]))
-            out["tag"].append(int(tags[k]))
+            out["key"].append(int(key[k]))
+            out["tag"].append(int(tag[k]))
             out["bucket"].append(bucket)
             out["bits"].append(np.packbits(goes[begins[k] : ends[k]]).tobytes())
     return pa.Table.from_pydict(out, ANSWER)
 
 
-def removal_spans(words: list[bytes], answers, hashes: WordHashes, buckets: int, width: int) -> list[tuple[int, int]]:
-    """Maximal [start, end) intervals of words that go."""
-    w = Windows(words, hashes, buckets, width)
-    if not w.count:
-        return []
-    goes = ~w.first
-    if answers:
-        places = np.flatnonzero(w.first)
-        order = np.argsort(w.bucket, kind="stable")
-        by = w.bucket[order]
-        for bucket, bits in answers:
-            lo, hi = np.searchsorted(by, [bucket, bucket + 1])
-            goes[places[order[lo:hi]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(hi - lo)).astype(bool)
-    edges = np.zeros(len(words) + 1, np.int32)
+def removal_spans(x: np.ndarray, answers: list[tuple[int, bytes]], buckets: int, width: int) -> list[tuple[int, int]]:
+    """Maximal [start, end) intervals of the words with hashes ``x`` that go."""
+    bucket = window_buckets(x, buckets, width)
+    order = np.argsort(bucket, kind="stable")
+    by = bucket[order]
+    goes = np.zeros(len(bucket), bool)
+    for at, bits in answers:
+        lo, hi = np.searchsorted(by, [at, at + 1])
+        goes[order[lo:hi]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(hi - lo)).astype(bool)
+    edges = np.zeros(len(x) + 1, np.int32)
     starts = np.flatnonzero(goes)
     edges[starts] += 1
     edges[starts + width] -= 1
@@ -219,7 +246,7 @@ def _keep(buckets, width):
             for text, answers in zip(texts, batch.column(2)):
                 words = text.as_py().split() if text.is_valid else []
                 found = [(a["bucket"], a["bits"]) for a in answers.as_py()] if answers.is_valid else []
-                gone = removal_spans(words, found, hashes, buckets, width)
+                gone = removal_spans(hashes.array(words), found, buckets, width) if found else []
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in gone])
                 if gone:
@@ -237,22 +264,31 @@ def _keep(buckets, width):
     return run
 
 
+def layout(windows: int) -> tuple[int, int]:
+    """(buckets, windows of a batch): buckets grow once there are very many, batches so that rows are worth their cost."""
+    size = min(max(BUCKET_WINDOWS[0], windows // MOST_SMALL_BUCKETS), BUCKET_WINDOWS[1])
+    buckets = max(1, -(-windows // size))
+    return buckets, min(max(BATCH_WINDOWS[0], ROW_WINDOWS * buckets), BATCH_WINDOWS[1])
+
+
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, spans, kept_text)``: the intervals of words removed and the rest, joined by spaces."""
     spark = docs.sparkSession
-    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = docs.select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"),
-        F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"),
-        "doc_id",
-        "text",
-    )
-    sent = keyed.select("id", "tag", "text").mapInArrow(_send(buckets, width), SENT_DDL)
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    windows = docs.agg(F.coalesce(F.sum(F.greatest(words - (width - 1), F.lit(0).cast("long"))), F.lit(0))).first()[0]
+    buckets, batch_windows = layout(windows)
+    # ids that occur once tell documents apart; else their texts have to be hashed
+    tagged = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
+    order = F.coalesce("doc_id", F.lit(NULL_ID)).alias("order")
+    key = F.coalesce("doc_id", F.xxhash64(F.lit("key"), "text")) if tagged else F.col("doc_id")
+    tag = F.xxhash64(F.col("doc_id").isNull(), "text") if tagged else F.lit(0).cast("long")
+    keyed = docs.select(order, key.alias("key"), tag.alias("tag"), "text", "doc_id")
+    sent = keyed.select("order", "key", "tag", "text").mapInArrow(_send(buckets, width, tagged, batch_windows), SENT_DDL)
     answers = materialize(sent.groupBy("bucket").applyInArrow(_answer, ANSWER_DDL), "repeats")
     release_shuffles(spark)
-    gathered = answers.groupBy("id", "tag").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    joined = keyed.join(gathered, ["id", "tag"], "left").select("doc_id", "text", "answers")
+    gathered = answers.groupBy("key", "tag").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    joined = keyed.join(gathered, ["key", "tag"], "left").select("doc_id", "text", "answers")
     return joined.mapInArrow(
         _keep(buckets, width), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept_text string"
     )

@@ -5,6 +5,7 @@ import re
 import sys
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -47,7 +48,10 @@ def test_whole_table(spark):
     assert sum(n for _, n, _ in got.values()) > 0
 
 
-def test_spans_and_edges(spark, monkeypatch):
+@pytest.mark.parametrize("bucket, batch", [(1 << 21, 1 << 20), (40, 150)])
+def test_spans_and_edges(spark, monkeypatch, bucket, batch):
+    monkeypatch.setattr(sd, "BUCKET_WINDOWS", (bucket, bucket))
+    monkeypatch.setattr(sd, "BATCH_WINDOWS", (batch, batch))
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(50)]
     passage = [rng.choice(vocabulary) for _ in range(30)]
@@ -57,7 +61,7 @@ def test_spans_and_edges(spark, monkeypatch):
         at = rng.randint(0, len(words))
         texts.append(" ".join(words[:at] + passage + words[at:]))
     texts += ["a " * 5000, "a " * 100, texts[7], texts[7].replace(" ", "\t\n")]
-    docs = documents(spark, texts).withColumn("tag", F.lit(1)).withColumn("id", F.lit("x"))
+    docs = documents(spark, texts).withColumn("tag", F.lit(1)).withColumn("id", F.lit("x")).withColumn("key", F.lit("y")).withColumn("order", F.lit(2))
     got = {r.doc_id: r for r in sd.remove_repeats(docs.repartition(5)).collect()}
     want = brute(list(enumerate(texts)))
     for i, r in got.items():
@@ -72,3 +76,29 @@ def test_rows_with_one_id_or_none(spark):
     docs = documents(spark, [text, text, text, text + " more", text], ids=[4, 4, None, 4, None])
     got = sorted((r.doc_id is None, len(r.spans)) for r in sd.remove_repeats(docs).collect())
     assert got == [(False, 0)] * 3 + [(True, 1)] * 2
+
+
+def test_many_rows_without_id_equal_brute_force(spark):
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}x{i}" for i in range(24)) for k in range(40)]
+    texts = [" ".join(f"{k}y{i}" for i in range(21)) + (" " + rng.choice(shared) if k % 10 == 0 else "") for k in range(20_000)]
+    first = [(k, t) for k, t in enumerate(shared[:20])]
+    docs = documents(spark, [t for _, t in first] + texts, ids=[k for k, _ in first] + [None] * len(texts))
+    rows = [r for r in sd.remove_repeats(docs).collect() if r.doc_id is None]
+    assert len(rows) == len(texts)
+    want = sorted((len(t.split()), 24 if any(s in t for s in shared[:20]) else 0) for t in texts)
+    assert sorted((r.n_words, sum(s["end"] - s["start"] for s in r.spans)) for r in rows) == want
+
+
+def test_negative_and_extreme_ids(spark):
+    text = " ".join(f"x{i}" for i in range(25))
+    ids = [2**63 - 2, -(2**63), 0, -1]
+    got = {r.doc_id: len(r.spans) for r in sd.remove_repeats(documents(spark, [text] * 4, ids=ids)).collect()}
+    assert got == {2**63 - 2: 1, -(2**63): 0, 0: 1, -1: 1}
+
+
+def test_buckets_follow_the_windows():
+    for windows in (0, 1, 10**6, 10**9, 10**11, 10**13):
+        buckets, batch = sd.layout(windows)
+        assert windows / buckets <= sd.BUCKET_WINDOWS[1] and batch <= sd.BATCH_WINDOWS[1]
+        assert windows < 8 * 10**9 and windows / buckets <= sd.BUCKET_WINDOWS[0] or windows >= 8 * 10**9 or not windows
