@@ -6,13 +6,13 @@ the input texts.
 
 1. Each window gets two polynomial hashes over its words' hashes. One picks a bucket, the other is
    sent there, so a false repeat needs both to agree (64 bits and log2 of the number of buckets).
-   The windows are counted first, and the number of buckets follows from that: a bucket, which one
-   task holds, gets about ``BUCKET_WINDOWS[0]`` of them, at the very largest inputs up to
-   ``BUCKET_WINDOWS[1]``.
+   The number of buckets follows from the size of all texts: a bucket, which one task holds, gets
+   about ``BUCKET_WINDOWS[0]`` windows, at the very largest inputs up to ``BUCKET_WINDOWS[1]``.
 2. Windows travel packed: one row for a batch of documents and a bucket holds arrays. A window that
    repeats inside its document, or whose sequence has a smaller id in the same batch, is known to
    go and its hash is not sent: a very frequent window costs one entry a batch.
-3. A bucket sorts its hashes, and answers with bits per document.
+3. A bucket sorts its hashes, and answers with bits per document, again packed, one row for each
+   part of the documents.
 4. Each document joins its bits, finds the places of the bucket's windows again and merges the
    windows that go into maximal intervals.
 
@@ -40,6 +40,8 @@ BUCKET_WINDOWS = (1 << 21, 1 << 24)
 MOST_SMALL_BUCKETS = 1 << 12
 BATCH_WINDOWS = (1 << 20, 1 << 23)
 ROW_WINDOWS = 256
+#: Mean length of a word with its blank, by which windows are estimated; there are at most three times as many.
+WORD_BYTES = 6
 CACHED_WORDS = 1 << 18
 NULL_ID = 2**63 - 1
 
@@ -149,8 +151,12 @@ SENT = pa.schema(
     + [(name, pa.binary()) for name in ("orders", "keys", "tags", "counts", "known", "hashes")]
 )
 SENT_DDL = "bucket int, docs int, least long, orders binary, keys binary, tags binary, counts binary, known binary, hashes binary"
-ANSWER = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
-ANSWER_DDL = "key long, tag long, bucket int, bits binary"
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("docs", pa.int32())] + [(n, pa.binary()) for n in ("keys", "tags", "sizes", "bits")])
+ANSWER_DDL = "part int, bucket int, docs int, keys binary, tags binary, sizes binary, bits binary"
+GATHERED = pa.schema(
+    [("key", pa.int64()), ("tag", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))]
+)
+GATHERED_DDL = "key long, tag long, answers array<struct<bucket:int,bits:binary>>"
 
 
 def _send(buckets, width, tagged, batch_windows):
@@ -174,39 +180,84 @@ def _send(buckets, width, tagged, batch_windows):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """All rows of one bucket to bits for each document with a window that goes."""
-    rows, hashes, owners = [], [], []
+def _answer(parts: int):
+    """All rows of one bucket to bits for the documents with a window that goes, packed for ``parts`` parts of the documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, hashes, owners = [], [], []
+        for r in table.to_pylist():
+            n = r["docs"]
+            order = (np.uint64(r["least"] % 2**64) + np.cumsum(_unpacked(r["orders"], n), dtype=np.uint64)).view(np.int64)
+            counts = _unpacked(r["counts"], n).astype(np.int64)
+            known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=int(counts.sum())).astype(bool)
+            key = np.frombuffer(r["keys"], np.int64) if r["keys"] else order
+            tag = np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(n, np.int64)
+            rows.append((key, tag, counts, known))
+            hashes.append(np.frombuffer(r["hashes"], np.uint64))
+            owners.append(np.repeat(order, counts)[~known])
+        bucket = table.column("bucket")[0].as_py()
+        h, own = np.concatenate(hashes), np.concatenate(owners)
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        later = np.zeros(len(h), bool)
+        later[order] = own > np.repeat(own[starts], np.diff(np.r_[starts, len(h)]))
+        key, tag, counts, goes = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        goes[~goes] = later
+        begins = np.cumsum(counts) - counts
+        hit = np.flatnonzero(np.add.reduceat(goes, begins, dtype=np.int64))
+        hit = hit[np.argsort(_part(key[hit], parts), kind="stable")]
+        key, tag, counts, begins = key[hit], tag[hit], counts[hit], begins[hit]
+        sizes = (counts + 7) // 8
+        ends = np.cumsum(sizes)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        bits = np.zeros(sizes.sum() * 8, bool)
+        bits[np.repeat((ends - sizes) * 8, counts) + within] = goes[np.repeat(begins, counts) + within]
+        bits, part = np.packbits(bits), _part(key, parts)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+        out = [
+            {
+                "part": int(part[lo]),
+                "bucket": bucket,
+                "docs": int(hi - lo),
+                "keys": key[lo:hi].tobytes(),
+                "tags": tag[lo:hi].tobytes() if tag[lo:hi].any() else b"",
+                "sizes": _packed(sizes[lo:hi]),
+                "bits": bits[ends[lo] - sizes[lo] : ends[hi - 1]].tobytes(),
+            }
+            for lo, hi in zip(cuts[:-1], cuts[1:])
+        ]
+        return pa.Table.from_pylist(out, ANSWER)
+
+    return run
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(BASES[0]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All answers for one part of the documents to one row a document."""
+    key, tag, bucket, bits = [], [], [], []
     for r in table.to_pylist():
         n = r["docs"]
-        order = (np.uint64(r["least"] % 2**64) + np.cumsum(_unpacked(r["orders"], n), dtype=np.uint64)).view(np.int64)
-        counts = _unpacked(r["counts"], n).astype(np.int64)
-        known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=int(counts.sum())).astype(bool)
-        key = np.frombuffer(r["keys"], np.int64) if r["keys"] else order
-        tag = np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(n, np.int64)
-        rows.append((r["bucket"], key, tag, counts, known))
-        hashes.append(np.frombuffer(r["hashes"], np.uint64))
-        owners.append(np.repeat(order, counts)[~known])
-    h, own = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((own, h))
-    h, own = h[order], own[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    later = np.zeros(len(h), bool)
-    later[order] = own > np.repeat(own[starts], np.diff(np.r_[starts, len(h)]))
-    out, used = {"key": [], "tag": [], "bucket": [], "bits": []}, 0
-    for bucket, key, tag, counts, known in rows:
-        n = int((~known).sum())
-        goes = known.copy()
-        goes[~known] = later[used : used + n]
-        used += n
-        ends = np.cumsum(counts)
-        begins = ends - counts
-        for k in np.flatnonzero(np.add.reduceat(goes, begins, dtype=np.int64)):
-            out["key"].append(int(key[k]))
-            out["tag"].append(int(tag[k]))
-            out["bucket"].append(bucket)
-            out["bits"].append(np.packbits(goes[begins[k] : ends[k]]).tobytes())
-    return pa.Table.from_pydict(out, ANSWER)
+        key.append(np.frombuffer(r["keys"], np.int64))
+        tag.append(np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(n, np.int64))
+        bucket.append(np.full(n, r["bucket"], np.int32))
+        offsets = np.r_[0, np.cumsum(_unpacked(r["sizes"], n))].astype(np.int32)
+        bits.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(r["bits"])]))
+    key, tag, bucket = map(np.concatenate, (key, tag, bucket))
+    order = np.lexsort((bucket, tag, key))
+    key, tag, bucket = key[order], tag[order], bucket[order]
+    # rows of equal documents give equal answers: one of each is enough
+    new = np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]
+    once = new | np.r_[True, bucket[1:] != bucket[:-1]]
+    heads = np.flatnonzero(new[once])
+    answers = pa.StructArray.from_arrays(
+        [pa.array(bucket[once]), pa.concat_arrays(bits).take(pa.array(order[once]))], fields=list(GATHERED.field("answers").type.value_type)
+    )
+    answers = pa.ListArray.from_arrays(pa.array(np.r_[heads, once.sum()].astype(np.int32)), answers)
+    return pa.Table.from_arrays([pa.array(key[new]), pa.array(tag[new]), answers.cast(GATHERED.field("answers").type)], schema=GATHERED)
 
 
 def removal_spans(x: np.ndarray, answers: list[tuple[int, bytes]], buckets: int, width: int) -> list[tuple[int, int]]:
@@ -275,9 +326,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, spans, kept_text)``: the intervals of words removed and the rest, joined by spaces."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    windows = docs.agg(F.coalesce(F.sum(F.greatest(words - (width - 1), F.lit(0).cast("long"))), F.lit(0))).first()[0]
-    buckets, batch_windows = layout(windows)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets, batch_windows = layout(size // WORD_BYTES)
     # ids that occur once tell documents apart; else their texts have to be hashed
     tagged = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
     order = F.coalesce("doc_id", F.lit(NULL_ID)).alias("order")
@@ -285,9 +335,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     tag = F.xxhash64(F.col("doc_id").isNull(), "text") if tagged else F.lit(0).cast("long")
     keyed = docs.select(order, key.alias("key"), tag.alias("tag"), "text", "doc_id")
     sent = keyed.select("order", "key", "tag", "text").mapInArrow(_send(buckets, width, tagged, batch_windows), SENT_DDL)
-    answers = materialize(sent.groupBy("bucket").applyInArrow(_answer, ANSWER_DDL), "repeats")
+    answers = materialize(sent.groupBy("bucket").applyInArrow(_answer(buckets), ANSWER_DDL), "repeats")
     release_shuffles(spark)
-    gathered = answers.groupBy("key", "tag").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    gathered = answers.groupBy("part").applyInArrow(_gather, GATHERED_DDL)
     joined = keyed.join(gathered, ["key", "tag"], "left").select("doc_id", "text", "answers")
     return joined.mapInArrow(
         _keep(buckets, width), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept_text string"
