@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.hot import join_groups
 from lattica.session import discard, materialize
 
 #: Up to this many edges one task's union-find is quicker than rounds of jobs.
@@ -21,9 +22,9 @@ def star_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of comparable ids to ``(node, component)``, nodes with an edge only.
 
     Alternates large-star and small-star steps until nothing changes, so that every node ends
-    next to the least id of its component. Minima are plain aggregates with map-side combine and
-    the joins are equi-joins that adaptive execution can split, so a hub with a third of all
-    edges does not fall to one task. Each round is written to the shared folder.
+    next to the least id of its component. Minima are plain aggregates with map-side combine, and
+    join back by ``join_groups``, so a hub with a third of all edges does not fall to one task.
+    Each round is written to the shared folder.
     """
     e = materialize(
         edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter("a <> b").distinct(),
@@ -31,14 +32,17 @@ def star_components(edges: DataFrame) -> DataFrame:
     )
     before = _digest(e)
     while True:
+        total = before[0]
         ends = e.select(F.col("a").alias("n"), F.col("b").alias("m")).unionAll(
             e.select(F.col("b").alias("n"), F.col("a").alias("m"))
         )
-        least = ends.groupBy("n").agg(F.min("m").alias("m")).select(F.col("n"), F.least("n", "m").alias("lo"))
-        large = e.join(least, e["b"] == least["n"]).select("a", F.col("lo").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("lo"))
+        least = ends.groupBy("n").agg(F.min("m").alias("m"), F.count("*").alias("rows"))
+        least = least.select(F.col("n").alias("b"), F.least("n", "m").alias("lo"), "rows")
+        large = join_groups(e, least, ["b"], 2 * total).select("a", F.col("lo").alias("b")).distinct()
+        large = materialize(large, "large-star")
+        lowest = large.groupBy("a").agg(F.min("b").alias("lo"), F.count("*").alias("rows"))
         small = (
-            large.join(lowest, "a")
+            join_groups(large, lowest, ["a"], total)
             .filter("b <> lo")
             .select(F.col("b").alias("a"), F.col("lo").alias("b"))
             .unionAll(lowest.select("a", F.col("lo").alias("b")))
@@ -46,12 +50,13 @@ def star_components(edges: DataFrame) -> DataFrame:
         )
         after = materialize(small, "stars")
         digest = _digest(after)
+        discard(large)
         discard(e)
         e = after
         if digest == before:
             break
         before = digest
-    roots = e.groupBy("b").agg(F.lit(1).alias("_one")).select(F.col("b").alias("node"), F.col("b").alias("component"))
+    roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 
 
@@ -88,7 +93,7 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, strategy: st
         edges = materialize(edges, "edges-in")
         strategy = "single" if edges.count() <= SINGLE_TASK_EDGES else "distributed"
     if strategy == "single":
-        found = edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
+        found = edges.repartition(1).mapInArrow(_union_find, "node long, component long")
     else:
         found = star_components(edges)
     if vertices is None:

@@ -148,7 +148,7 @@ def shortest(cells: DataFrame, start: tuple[int, int], diagonal: bool = True, st
         strategy = "single" if cells.count() <= SINGLE_TASK_CELLS else "waves"
     if strategy == "waves":
         return distances(cells, start, diagonal, straight, slanted)
-    free = cells.filter(F.col("state") != BLOCKED).select(F.col("cx").cast("long"), F.col("cy").cast("long")).coalesce(1)
+    free = cells.filter(F.col("state") != BLOCKED).select(F.col("cx").cast("long"), F.col("cy").cast("long")).repartition(1)
     return free.mapInArrow(_dijkstra(start, _costs(diagonal, straight, slanted)), "cx long, cy long, dist long")
 
 
@@ -180,7 +180,7 @@ def path_cells(dist: DataFrame, end: tuple[int, int], diagonal: bool = True, str
         xs, ys = [p[0] for p in path], [p[1] for p in path]
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (range(len(path)), xs, ys)], names=["step", "cx", "cy"])
 
-    return parents.coalesce(1).mapInArrow(walk, "step long, cx long, cy long")
+    return parents.repartition(1).mapInArrow(walk, "step long, cx long, cy long")
 
 
 def _faithful(start, end, diagonal_cost):
@@ -223,7 +223,7 @@ def _faithful(start, end, diagonal_cost):
 
 def astar_faithful(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], diagonal_cost: float = 1.0) -> DataFrame:
     """A* with the straight-line guess, which exceeds the cost of diagonal steps, so its path may not be shortest."""
-    grid = cells.select(F.col("cx").cast("long"), F.col("cy").cast("long"), "state").coalesce(1)
+    grid = cells.select(F.col("cx").cast("long"), F.col("cy").cast("long"), "state").repartition(1)
     return grid.mapInArrow(_faithful(start, end, diagonal_cost), "step long, cx long, cy long")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import distance_sq, point
+from lattica.operators.hot import join_groups
+from lattica.session import materialize
 
 MARGIN = 1 + 1e-9
 
@@ -57,14 +59,15 @@ def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bo
     reach = 2 if len(axes) < 4 else 3
     cells = points.select("point_id", *axes, *[F.floor(F.col(a) / side).alias(f"c{a}") for a in axes])
     names = [f"c{a}" for a in axes]
-    heads = cells.groupBy(*names).agg(F.min("point_id").alias("head"))
-    stars = cells.join(heads, names).filter("point_id <> head").select(F.col("head").alias("u"), F.col("point_id").alias("v"))
-    probe = cells.join(heads, names).select(F.col("head").alias("u"), *[F.col(a).alias(f"a{a}") for a in axes], *names)
+    heads = cells.groupBy(*names).agg(F.min("point_id").alias("head"), F.count("*").alias("rows"))
+    cells = materialize(join_groups(cells, heads, names), "cells")
+    stars = cells.filter("point_id <> head").select(F.col("head").alias("u"), F.col("point_id").alias("v"))
+    probe = cells.select(F.col("head").alias("u"), *[F.col(a).alias(f"a{a}") for a in axes], *names)
     for a in axes:
         probe = probe.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - reach, F.col(f"c{a}") + reach)))
     other = reduce(lambda x, y: x | y, [F.col(f"n{a}") != F.col(f"c{a}") for a in axes])
     probe = probe.filter(other).select("u", *[f"a{a}" for a in axes], *[F.col(f"n{a}").alias(f"c{a}") for a in axes])
-    base = cells.join(heads, names).select(F.col("head").alias("v"), *[F.col(a).alias(f"b{a}") for a in axes], *names)
+    base = cells.select(F.col("head").alias("v"), *[F.col(a).alias(f"b{a}") for a in axes], *names)
     d2 = distance_sq(tuple(F.col(f"a{a}") for a in axes), tuple(F.col(f"b{a}") for a in axes))
     limit = float(radius) * float(radius)
     near = (d2 <= limit) if closed else (d2 < limit)
@@ -72,17 +75,51 @@ def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bo
     return stars.unionByName(across)
 
 
+#: Up to this many queries are compared with all points; more are found by cells.
+FEW_QUERIES = 1000
+
+
 def nearest(points: DataFrame, queries: DataFrame, axes: str = "xyz") -> DataFrame:
-    """For each of a few ``queries(query_id, x, y, z)`` the nearest point, ties to the least id.
+    """For each of ``queries(query_id, x, y, z)`` the nearest point, ties to the least id.
 
-    One pass over the points with partial aggregation; the queries are broadcast and must be few.
+    The queries are counted. Up to ``FEW_QUERIES`` are broadcast: one pass over the points with
+    partial aggregation. More are joined by cells whose width doubles until each query has a point
+    within it, so that its nearest is among those of the neighbouring cells. Points and queries with a null
+    or NaN coordinate are left out.
     """
+    known = " AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in axes)
+    points, queries = points.filter(known), queries.filter(known)
     q = queries.select("query_id", *[F.col(a).alias(f"q{a}") for a in axes])
     d2 = distance_sq(point("", "", axes), tuple(F.col(f"q{a}") for a in axes))
+    if queries.count() > FEW_QUERIES:
+        return _nearest_by_cells(points, q, d2, axes)
     best = points.crossJoin(F.broadcast(q)).groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), F.col("point_id").alias("id"))).alias("best"))
     return best.select("query_id", F.col("best.id").alias("point_id"), F.col("best.d2").alias("d2"))
 
 
+def _nearest_by_cells(points: DataFrame, q: DataFrame, d2, axes: str) -> DataFrame:
+    ends = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not ends["n"]:
+        return q.select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("d2")).limit(0)
+    extent = max(max(ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes), 1e-9)
+    width = extent / max(1.0, ends["n"] ** (1 / len(axes)))
+    found, left = [], materialize(q, "queries")
+    while not left.isEmpty():
+        cells = [F.floor(F.col(a) / width).alias(f"c{a}") for a in axes]
+        near = left
+        for a in axes:
+            near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"q{a}") / width) - 1, F.floor(F.col(f"q{a}") / width) + 1)))
+        pairs = near.join(points.select("point_id", *axes, *cells), [f"c{a}" for a in axes])
+        best = pairs.groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), F.col("point_id").alias("id"))).alias("best"))
+        # beyond the width a nearer point may be outside the neighbouring cells
+        sure = best.filter(F.col("best.d2") <= width * width).select("query_id", F.col("best.id").alias("point_id"), F.col("best.d2").alias("d2"))
+        sure = materialize(sure, "nearest")
+        found.append(sure)
+        left = materialize(left.join(sure.select("query_id"), "query_id", "left_anti"), "queries")
+        width *= 4
+    return reduce(DataFrame.unionByName, found)
+
+
 def nearest_center(points: DataFrame, centers: list[tuple[float, ...]], radius: float, axes: str = "xyz") -> DataFrame:
     """(point_id, center, d2): place of the nearest of literal centres, null at ``radius`` or beyond."""
     d2s = [distance_sq(point("", "", axes), tuple(F.lit(float(v)) for v in c)) for c in centers]
@@ -98,14 +135,21 @@ def with_bounds(points: DataFrame, axes: str = "xyz") -> DataFrame:
     return points.crossJoin(F.broadcast(bounds))
 
 
+def _range_of(value, cuts: list[float], low: int = 0):
+    """Number of ``cuts`` below ``value``, as a balanced tree of comparisons."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(value <= F.lit(cuts[mid]), _range_of(value, cuts[:mid], low)).otherwise(_range_of(value, cuts[mid + 1 :], low + mid + 1))
+
+
 def argsort(points: DataFrame, axis: str) -> DataFrame:
     """(point_id, place) by ascending value, ties by id; ranges of values are ranked apart and offset."""
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = points.agg(F.percentile_approx(axis, F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 10_000)).first()[0] or []
-    cuts = sorted(set(bounds))
-    part = reduce(lambda acc, c: acc + (F.col(axis) > F.lit(c)).cast("int"), cuts, F.lit(0))
-    rows = points.select("point_id", F.col(axis).alias("v"), part.alias("part"))
+    rows_part = _range_of(F.col(axis), sorted(set(bounds)))
+    rows = points.select("point_id", F.col(axis).alias("v"), rows_part.alias("part"))
     counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

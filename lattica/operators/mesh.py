@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import vectors as V
 from lattica.operators.graph import components
+from lattica.operators.hot import join_groups
 from lattica.operators.joins import radius_pairs
 
 CORNERS = ("v0", "v1", "v2")
@@ -105,8 +106,8 @@ def triangle_components(triangles: DataFrame, by: str = "edge", strategy: str =
         shared, keys = corners(triangles).select("tri_id", "vertex_id"), ["vertex_id"]
     else:
         raise ValueError("by is 'edge' or 'vertex'")
-    heads = shared.groupBy(*keys).agg(F.min("tri_id").alias("head"))
-    links = shared.join(heads, keys).filter("head <> tri_id").select(F.col("head").alias("u"), F.col("tri_id").alias("v"))
+    heads = shared.groupBy(*keys).agg(F.min("tri_id").alias("head"), F.count("*").alias("rows"))
+    links = join_groups(shared, heads, keys).filter("head <> tri_id").select(F.col("head").alias("u"), F.col("tri_id").alias("v"))
     return components(links, triangles.select(F.col("tri_id").alias("node")), strategy).select(F.col("node").alias("tri_id"), "component")
 
 
@@ -149,8 +150,8 @@ def touching(triangles: DataFrame, vertex_ids: DataFrame, keep: bool = False) ->
 
 def dedupe_vertices(vertices: DataFrame) -> DataFrame:
     """(vertex_id, target): target the least id with the same coordinates."""
-    heads = vertices.groupBy("x", "y", "z").agg(F.min("vertex_id").alias("target"))
-    return vertices.join(heads, ["x", "y", "z"]).select("vertex_id", "target")
+    heads = vertices.groupBy("x", "y", "z").agg(F.min("vertex_id").alias("target"), F.count("*").alias("rows"))
+    return join_groups(vertices, heads, ["x", "y", "z"]).select("vertex_id", "target")
 
 
 def remap(triangles: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import vectors as V
-from lattica.operators import graph, grid, hulls, joins, mesh, planes, regions, sampling, spectral, walls
+from lattica.operators import graph, grid, hot, hulls, joins, mesh, planes, regions, sampling, spectral, walls
 from lattica.plans.inputs import emb, floor, triangles, vertices
 from lattica.session import shared_dir
 from lattica.streaming import voxels
@@ -79,6 +79,37 @@ def test_radius_links_have_the_components_of_pairs(spark, axes):
         assert sorted(map(tuple, regions.regions(p, radius, axes).collect())) == want
 
 
+def test_a_hub_is_split_between_tasks(spark):
+    n = 20_000
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    edges = edges.unionAll(spark.range(n, 2 * n, 2).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    found = graph.star_components(edges)
+    assert found.filter("node < component").isEmpty() and found.count() == 2 * n
+    assert found.filter("component = 0").count() == n
+    rows = edges.withColumnRenamed("u", "k")
+    sums = rows.groupBy("k").agg(F.count("*").alias("rows"), F.max("v").alias("top"))
+    joined = hot.join_groups(rows, sums, ["k"])
+    assert joined.columns == ["k", "v", "top"] and joined.count() == rows.count()
+    assert joined.filter("k = 0 AND top <> 19999").isEmpty()
+    # the hub's rows stay in the tasks that read them
+    by_task = joined.filter("k = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in by_task) <= n / 2
+
+
+def test_nearest_by_cells_equals_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = cloud(spark, rng.normal(size=(400, 3)))
+    places = np.vstack([rng.normal(size=(60, 3)), [[90, 0, 0], [0, -500, 3]]])
+    queries = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(places)], "query_id long, x double, y double, z double")
+    want = sorted(map(tuple, joins.nearest(points, queries).collect()))
+    monkeypatch.setattr(joins, "FEW_QUERIES", 5)
+    assert sorted(map(tuple, joins.nearest(points, queries).collect())) == want and len(want) == 62
+    nothing = queries.select("query_id", F.lit(None).cast("double").alias("x"), "y", "z")
+    for few in (5, 1000):
+        monkeypatch.setattr(joins, "FEW_QUERIES", few)
+        assert joins.nearest(points, nothing).count() == 0 and joins.nearest(points.limit(0), queries).count() == 0
+
+
 def test_regions_do_not_change_with_order_or_rotation(spark):
     p = emb(spark, SF)
     base = sorted(map(tuple, regions.regions(p, 0.05).collect()))
