@@ -10,7 +10,8 @@ Documents with one fingerprint are one class and only classes are compared. A bu
 ``HOT_BUCKET`` classes is dealt again by the same construction over the bits its table does not
 keep, which bounds it by the number of values of the bits then left (about 2^16). Within a bucket,
 a search that removes what it reaches links members without listing pairs. Components of the
-resulting links are found by distributed rounds.
+resulting links are found by distributed rounds. Labels join back by ``join_groups``, so a component
+or a fingerprint with a large share of all rows does not fall to one task.
 
 Null and empty texts have fingerprint 0 and link like any other. Rows with a null ``doc_id`` take
 part, but never name a component. Repeated rows have equal fingerprints. Other columns are ignored.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import star_components
+from lattica.operators.hot import join_groups
 from lattica.session import materialize
 
 SHINGLE = 4
@@ -166,12 +168,13 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HO
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``: component_id is the least doc_id reachable over links."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     links = fingerprint_links(classes.select("fp"), radius, hot_bucket)
     found = star_components(links.select("u", "v"))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("component", "fp")
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")
     )
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.select("fp", "root").join(heads, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    rooted = materialize(rooted, "rooted")
+    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("rows"))
+    labels = join_groups(rooted, heads, ["root"]).select("fp", "component_id", F.col("copies").alias("rows"))
+    return join_groups(prints, materialize(labels, "labels"), ["fp"]).select("doc_id", "fp", "component_id")
