@@ -73,7 +73,7 @@ def op9_order_minhash(spark, sf_dir):
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
-    return found.select("doc_id", language_id.held_out_fold().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language_id.held_out_fold().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def queries():

@@ -3,22 +3,25 @@
 Features of a text are the hashes of the 2-, 3- and 4-character pieces of its lower-cased words, a
 blank standing for the word's border; a text's vector is the mean of their embeddings. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on the driver. A
-temperature, fitted on examples that were not trained on, calibrates the scores, and the rejection
-threshold is the ``REJECTED`` quantile of the scores of those predicted right, at most one half.
+temperature, fitted on examples that were not trained on, calibrates the scores. Short texts score
+lower, so rejection goes by length: the threshold of each length in ``EXAMPLE_WORDS`` is the
+``REJECTED`` quantile of the scores of those examples of that length that were predicted right, and
+a text is held against that of the greatest such length it has.
 
 Training reads about ``DOCS_PER_LANGUAGE`` documents of each language (all if there are fewer),
 chosen by the hash of their id, and of each at most ``EXAMPLES_PER_DOC`` stretches of up to 40 words
-(of up to 100 characters) spread over the whole text: a documented bound of the sample. Prediction
-reads whole texts.
+(of up to 100 characters) spread over the whole text: a documented bound of the sample. Equal rows
+count once in it. Prediction reads whole texts.
 
-A text that is null or has no letter is ``und`` with score 0 and always rejected. If no labelled
-row is left to learn from, every text is ``und``. Repeated rows get equal predictions. Other
-columns are never read.
+A text that is null or has no letter (``str.isalpha``) is ``und`` with score 0 and always rejected.
+If no labelled row is left to learn from, every text is ``und``. A row whose doc_id is null is not
+held out and not learned from. Repeated rows get equal predictions. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +33,8 @@ from lattica.session import materialize
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 600
-EXAMPLES_PER_DOC = 6
-EXAMPLE_WORDS = (4, 12, 40)
+EXAMPLES_PER_DOC = 8
+EXAMPLE_WORDS = (1, 4, 12, 40)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 4
@@ -43,7 +46,17 @@ LONG_TEXT = 6000
 BROADCAST_LANGUAGES = 10_000
 PIECES = (2, 3, 4)
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Word characters that are letters, or numerals such as superscripts and fractions.
+NEAR_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in NEAR_LETTER.finditer(text))
+
+
+def length_class(text: str) -> int:
+    """Place in ``EXAMPLE_WORDS`` of the greatest length that the text has, 0 for an empty one."""
+    return max(0, bisect_right(EXAMPLE_WORDS, len(text.split(None, EXAMPLE_WORDS[-1]))) - 1)
 
 
 def features(text: str) -> np.ndarray:
@@ -74,7 +87,7 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: list[float]
 
     def logits(self, text: str) -> np.ndarray:
         ids = features(text)
@@ -85,7 +98,7 @@ class Model:
         return total / len(ids) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -93,6 +106,11 @@ class Model:
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether it is rejected)."""
+        lang, score = self.predict(text)
+        return lang, score, lang == UNDETERMINED or score < self.thresholds[length_class(text)]
+
 
 def _softmax(z):
     p = np.exp(z - z.max())
@@ -101,10 +119,10 @@ def _softmax(z):
 
 def train(examples: list[tuple[str, str]], seed: int = SEED) -> Model:
     """``examples``: (text, language) pairs."""
-    examples = sorted((t, lang) for t, lang in examples if LETTER.search(t))
+    examples = sorted((t, lang) for t, lang in examples if has_letter(t))
     languages = sorted({lang for _, lang in examples})
     if not examples:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.5)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, [1.0] * len(EXAMPLE_WORDS))
     rng = np.random.default_rng(seed)
     index = {lang: k for k, lang in enumerate(languages)}
     x = [features(t) for t, _ in examples]
@@ -134,10 +152,14 @@ def train(examples: list[tuple[str, str]], seed: int = SEED) -> Model:
     check = np.flatnonzero(held) if held.any() else fit
     cost = lambda t: -np.mean([np.log(_softmax(z[i] / t)[y[i]] + 1e-300) for i in check])
     temperature = float(min((2.0**k for k in np.arange(-4, 3.1, 0.25)), key=cost))
-    scores = [_softmax(z[i] / temperature) for i in check]
-    right = [s[y[i]] for s, i in zip(scores, check) if s.argmax() == y[i]]
-    threshold = min(0.5, float(np.quantile(right, REJECTED))) if right else 0.5
-    return Model(languages, table, b, temperature, threshold)
+    right = [[] for _ in EXAMPLE_WORDS]
+    for i in check:
+        scores = _softmax(z[i] / temperature)
+        if scores.argmax() == y[i]:
+            right[length_class(examples[i][0])].append(scores[y[i]])
+    pooled = [x for r in right for x in r]
+    thresholds = [float(np.quantile(r or pooled, REJECTED)) if pooled else 0.0 for r in right]
+    return Model(languages, table, b, temperature, thresholds)
 
 
 def _stretches(batches):
@@ -155,14 +177,14 @@ def _stretches(batches):
 
 
 def held_out_fold(doc_id="doc_id"):
-    """True for the fifth of documents that no model learns from."""
+    """True for the fifth of documents that no model learns from; null ids are outside."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learns from labelled rows outside the held-out fold."""
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(
-        "lang IS NOT NULL AND text IS NOT NULL"
+        "lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL"
     ).filter(~held_out_fold())
     counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     if counts.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
@@ -170,7 +192,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     pick = F.xxhash64("doc_id", F.lit(SEED))
     chosen = labelled.withColumn("pick", pick).join(counts, "lang")
     chosen = chosen.filter(F.shiftrightunsigned("pick", 33) < F.lit(docs_per_language) / F.col("n") * float(1 << 31))
-    rows = chosen.select("pick", "text", "lang").mapInArrow(_stretches, "text string, lang string").collect()
+    rows = chosen.select("pick", "text", "lang").distinct().mapInArrow(_stretches, "text string, lang string").collect()
     return train([(r.text, r.lang) for r in rows])
 
 
@@ -181,14 +203,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in batches:
-            found = [own.predict(t.as_py() if t.is_valid else None) for t in batch.column(1)]
-            langs, scores = zip(*found) if found else ((), ())
+            found = [own.judge(t.as_py() if t.is_valid else None) for t in batch.column(1)]
+            langs, scores, rejected = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(langs, pa.string()),
                     pa.array(scores, pa.float64()),
-                    pa.array([lang == UNDETERMINED or s < own.threshold for lang, s in found], pa.bool_()),
+                    pa.array(rejected, pa.bool_()),
                 ],
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
@@ -206,10 +228,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in batches:
-            keep = []
-            for t in batch.column(at):
-                lang, score = own.predict(t.as_py() if t.is_valid else None)
-                keep.append(lang != UNDETERMINED and score >= own.threshold)
+            keep = [not own.judge(t.as_py() if t.is_valid else None)[2] for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,7 +50,7 @@ def test_repeats_and_labels_of_held_out_rows_are_not_read(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = li.fit(docs.repartition(5))
     b = li.fit(docs.withColumn("lang", F.when(li.held_out_fold(), F.lit("xx")).otherwise(F.col("lang"))))
-    assert a.languages == b.languages and np.array_equal(a.table, b.table) and a.threshold == b.threshold
+    assert a.languages == b.languages and np.array_equal(a.table, b.table) and a.thresholds == b.thresholds
 
 
 def test_rejection_is_calibrated_and_keeps_clean_documents(spark):
@@ -59,6 +59,51 @@ def test_rejection_is_calibrated_and_keeps_clean_documents(spark):
     assert found.filter("rejected").count() <= 0.01 * docs.count()
 
 
+def test_predictions_equal_a_plain_computation_over_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = li.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op10_language_id(spark, SF).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        ids, counts = np.unique(brute_features(text), return_counts=True)
+        z = (counts @ model.table[ids] / counts.sum() + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        assert model.languages[int(p.argmax())] == r.lang_pred and abs(p.max() - r.score) < 1e-9
+        least = [t for n, t in zip(li.EXAMPLE_WORDS, model.thresholds) if n <= max(1, len(text.split()))][-1]
+        assert r.rejected == (r.score < least)
+
+
+def test_an_unlearned_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text IS NOT NULL")
+    for left in ("es", "fr", "de"):
+        model = li.fit(docs.filter(F.col("lang") != left))
+        held = li.predict(docs.filter(li.held_out_fold()), model).join(docs.select("doc_id", "lang"), "doc_id")
+        share = {r.own: r.share for r in held.groupBy((F.col("lang") == left).alias("own")).agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+        assert share[True] > 0.9 and share[False] < 0.01, (left, share)
+
+
+def test_letters_are_letters_only(spark):
+    docs = documents(spark, ["the quick brown fox " * 4, "le renard brun " * 4] * 3, langs=["en", "fr"] * 3)
+    model = li.fit(docs)
+    for text in ("\u00bd", "\u2460", "x\u00b2"[1:], "12_3", "\u0663 \u0967"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("12 \u00e9")[0] in model.languages
+
+
+def test_rows_without_id_are_not_learned_from(spark):
+    texts = ["the quick brown fox " * 4, "le renard brun " * 4, "der braune fuchs " * 4] * 4
+    langs = ["en", "fr", "de"] * 4
+    docs = documents(spark, texts, langs=langs, ids=[None if lang == "de" else k for k, lang in enumerate(langs)])
+    assert li.fit(docs).languages == ["en", "fr"]
+    twice = li.fit(docs.unionAll(docs))  # the sample is of distinct rows
+    assert np.array_equal(twice.table, li.fit(docs).table)
+    held = {r.held_out for r in docs.select("doc_id", li.held_out_fold().alias("held_out")).filter("doc_id IS NULL").collect()}
+    assert held == {False}
+
+
 def test_edge_cases(spark):
     texts = [None, "", "123 !?", "the quick brown fox " * 4, "le renard brun et la rose " * 4, "x", "der " * 50_000]
     langs = ["en", "en", "en", "en", "fr", None, "de"]
