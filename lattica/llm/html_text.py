@@ -3,15 +3,16 @@
 1. Each page is parsed to a tree: tags by one regular expression, raw-text elements skipped, void
    elements and implied end tags as HTML has them, stray end tags ignored.
 2. Elements are hashed with all they contain (tags, class and id, text). For each host Spark counts
-   in how many different contents (hash of the page's main text) each hash occurs; copies of one
-   page count once. Hashes in ``TEMPLATE_PAGES`` or more contents are the host's template; within
-   what a page's text is taken from, they must also be in ``TEMPLATE_SHARE`` of the host's contents,
-   so a list or section that some of many articles share stays.
+   in how many different contents each hash of a container (``div``, ``section``, ``ul`` ..) occurs.
+   Containers in at least ``TEMPLATE_SHARE`` of a host's contents, and in ``TEMPLATE_PAGES``, are its
+   template and are deleted wherever they stand, whatever their names. Headings and paragraphs of
+   their own are never template: a phrase that several articles share stays. A page's content is the
+   text of step 3 without template removal, so copies of a page count once. (Edited copies do not: a
+   list or section of an article goes too if such copies of it are half of a host's contents.)
 3. Text is taken from ``article`` elements if there are any, else from ``main``, else the body.
-   Dropped are template subtrees, elements that do not hold article text by their tag, and those
-   marked by role, class or id as menus, notices, adverts, comments and the like. Within what the
-   text is taken from, only containers such as ``div``, ``section`` or ``ul`` are dropped as
-   template, never headings or paragraphs: a phrase that several articles share stays.
+   What HTML itself declares to be no article text goes: by tag (``nav``, ``aside``, ``form``,
+   ``footer``, ..) or role, and containers whose class or id name one of ``MARK``'s kinds. Of a
+   ``header`` in an article its headings stay.
 
 Character references are decoded. White space within a block becomes one space, blocks are
 stripped, empty ones dropped, and the rest joined by newlines in page order. A null or empty html
@@ -29,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.hot import join_groups
 from lattica.session import materialize
 
-TEMPLATE_PAGES = 5
+TEMPLATE_PAGES = 3
 TEMPLATE_SHARE = 0.5
 
 TAG = re.compile(
@@ -68,61 +70,60 @@ IMPLIED = {
 }
 P_LIMIT = {"article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "aside", "figure", "dd", "button"}
 
-# What never is article text: by tag, by role, and by words in class or id.
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+# What never is article text: by tag, by role, and containers by words in class or id.
 DROPPED_TAGS = set(
-    "head nav header footer aside form script style noscript template iframe object embed applet svg math canvas audio "
-    "video button select textarea input dialog menu search datalist noembed noframes title link meta".split()
+    "head nav header footer aside form script style noscript template iframe object embed applet canvas audio video "
+    "select textarea input dialog menu search datalist noembed noframes title link meta "
+    "annotation annotation-xml desc metadata defs symbol".split()  # of math and svg, which show their other text
 )
 DROPPED_ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split()
 )
-DROPPED_WORDS = re.compile(
-    r"(?:^|[^a-z0-9])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|sponsored|sponsors?|promos?|promotions?|"
-    r"banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|newsletters?|subscribe|subscription|popups?|modals?|"
-    r"overlay|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|footers?|headers?|masthead|topbar|toolbar|"
-    r"share|sharing|social|related|recommended|recommendations|comments?|disqus|replies|respond|login|signin|signup|search|"
-    r"pagination|pager|skip|tags?cloud|legal|copyright|disclaimer)(?:$|[^a-z0-9])"
+MARK = re.compile(
+    r"(?:(?:site|page|global|top|bottom|main|side|reader|user)[-_])*"
+    r"(?:(?:ad|advert|advertisement|sponsored|cookie|consent|notice|newsletter|menu|nav|navbar|navigation|breadcrumb|sidebar|footer|comment)s?"
+    r"|(?<=site[-_])header|(?<=page[-_])header|(?<=global[-_])header)"
+    r"(?:[-_](?:ads?|bar|banner|box|slot|wrapper|container|block|list|area|section|notice|popup|menu|form|widget|[0-9]+))*"
 )
-STATE = re.compile(r"(?:has|is|no|with|without|not)[-_]")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTAINERS = set("div section aside nav header footer form ul ol dl menu table figure details".split())
 
 
 class Element:
-    __slots__ = ("tag", "name", "children", "dropped")
+    __slots__ = ("tag", "name", "children", "dropped", "marked")
 
-    def __init__(self, tag: str, name: str, dropped: bool):
-        self.tag, self.name, self.children, self.dropped = tag, name, [], dropped
+    def __init__(self, tag: str, name: str, marked: bool):
+        self.tag, self.name, self.children, self.marked = tag, name, [], marked
+        self.dropped = marked or tag in DROPPED_TAGS
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in reversed(ATTRIBUTE.findall(raw))}
 
 
-def _marked(tag: str, marks: str) -> bool:
-    """Whether class or id say that this is no article text."""
-    words = [w for w in re.sub(r"([a-z])([A-Z])", r"\1-\2", marks).lower().split() if not STATE.match(w)]
-    if tag == "article":  # posts carry marks of what they have, such as open comments
-        return any(DROPPED_WORDS.fullmatch(w) for w in words)
-    return any(DROPPED_WORDS.search(w) for w in words)
+def _marked(marks: str) -> bool:
+    """Whether class or id name a kind of ``MARK``."""
+    return any(MARK.fullmatch(w) for w in re.sub(r"([a-z])([A-Z])", r"\1-\2", marks).lower().split())
 
 
 def _element(tag: str, raw: str) -> Element:
-    dropped, name = tag in DROPPED_TAGS, tag
+    marked, name = False, tag
     if raw and raw.strip(" /"):
         found = _attributes(raw)
         marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
         if marks:
             name = f"{tag} {marks}"
-        if not dropped and tag not in ("html", "body", "main"):
-            dropped = (
-                bool(marks and _marked(tag, marks))
+        if tag not in ("html", "body", "main"):
+            marked = (
+                bool(marks and (tag in CONTAINERS or tag == "article") and _marked(marks))
                 or found.get("role", "").lower() in DROPPED_ROLES
                 or "hidden" in found
                 or found.get("aria-hidden", "").lower() == "true"
                 or bool(HIDDEN_STYLE.search(found.get("style", "")))
             )
-    return Element(tag, name, dropped)
+    return Element(tag, name, marked)
 
 
 def parse(html: str) -> Element:
@@ -228,6 +229,18 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
+def _headings(header: Element) -> list[Element]:
+    """The outermost headings of a header, in order."""
+    out, todo = [], [header]
+    while todo:
+        e = todo.pop()
+        if e.tag in HEADINGS:
+            out.append(e)
+        elif e is header or not e.dropped:
+            todo += [c for c in reversed(e.children) if not isinstance(c, str)]
+    return out
+
+
 def text_of(elements: list[Element], gone: frozenset[int] = frozenset(), hashes: dict[int, int] | None = None) -> str:
     blocks, current = [], []
 
@@ -240,6 +253,7 @@ def text_of(elements: list[Element], gone: frozenset[int] = frozenset(), hashes:
     todo = list(reversed(elements))
     flush_mark = object()
     inside = {id(e) for e in elements}
+    whole = not elements or elements[0].tag not in ("article", "main")
     while todo:
         e = todo.pop()
         if e is flush_mark:
@@ -248,11 +262,16 @@ def text_of(elements: list[Element], gone: frozenset[int] = frozenset(), hashes:
             current.append(e)
         elif e.tag == "br":
             current.append(" ")
-        elif not e.dropped and not (gone and id(e) not in inside and e.tag in CONTAINERS and hashes[id(e)] in gone):
+        elif gone and id(e) not in inside and e.tag in CONTAINERS and hashes[id(e)] in gone:
+            flush()
+        elif not e.dropped:
             if e.tag in BLOCKS or e.tag == "#root":
                 flush()
                 todo.append(flush_mark)
             todo += reversed(e.children)
+        elif e.tag == "header" and not e.marked and not whole:
+            flush()
+            todo += reversed(_headings(e))
         elif e.tag in BLOCKS or e.tag in RAW:
             flush()
     flush()
@@ -270,52 +289,35 @@ def extract(html: str | None, template: list[int] | None = None) -> str:
     return text_of(main_elements(root, gone, hashes), gone, hashes)
 
 
-def candidates(html: str | None) -> tuple[int, list[tuple[int, tuple[bool, bool]]]]:
-    """The hash of the page's content, and (subtree hash, (dropped anyway, within main elements)) of what may be template.
-
-    Those are all elements with text outside the main elements, of dropped ones the outermost, and
-    containers within the main elements.
-    """
+def candidates(html: str | None) -> tuple[int, set[int]]:
+    """The hash of the page's content, and the hashes of the containers that may be template and would not go anyway."""
     if not html:
-        return 0, []
+        return 0, set()
     root = parse(html)
     hashes = subtree_hashes(root)
     main = main_elements(root)
-    content = xxhash.xxh64_intdigest(text_of(main)) >> 1
-    bare = main[0].tag in ("body", "#root")
     mains = {id(e) for e in main}
-    found: dict[int, tuple[bool, bool]] = {}
-    todo = [(root, False)]
+    found, todo = set(), [root]
     while todo:
-        e, within = todo.pop()
-        top = id(e) in mains
-        if not top and e.tag not in ("#root", "html", "head", "body") and e.children:
-            if e.dropped and e.tag not in RAW:
-                found[hashes[id(e)]] = True, within
-            elif not e.dropped and (not within or e.tag in CONTAINERS):
-                h = hashes[id(e)]
-                found[h] = False, within or found.get(h, (False, False))[1]
-        if not e.dropped:
-            todo += [(c, within or (top and not bare) or bare) for c in e.children if not isinstance(c, str)]
-    return content, list(found.items())
+        e = todo.pop()
+        if e.dropped:
+            continue
+        if e.tag in CONTAINERS and e.children and id(e) not in mains:
+            found.add(hashes[id(e)])
+        todo += [c for c in e.children if not isinstance(c, str)]
+    return xxhash.xxh64_intdigest(text_of(main)) >> 1, found
 
 
 def _candidate_rows(batches):
     for batch in batches:
-        out = {"row": [], "host": [], "content": [], "subtree": [], "dropped": [], "within": []}
+        out = {"row": [], "host": [], "content": [], "subtree": []}
         for row, host, html in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             content, found = candidates(html)
-            if html:
-                found.append((None, (False, False)))  # the page itself
-            for subtree, (dropped, within) in found:
-                for name, value in zip(out, (row, host, content, subtree, dropped, within)):
+            for subtree in [*found, *([None] if html else [])]:  # None is the page itself
+                for name, value in zip(out, (row, host, content, subtree)):
                     out[name].append(value)
         yield pa.RecordBatch.from_pydict(
-            out,
-            pa.schema(
-                [("row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("subtree", pa.int64())]
-                + [("dropped", pa.bool_()), ("within", pa.bool_())]
-            ),
+            out, pa.schema([("row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("subtree", pa.int64())])
         )
 
 
@@ -337,27 +339,20 @@ def _prepared(pages: DataFrame) -> DataFrame:
 
 
 def template_subtrees(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
-    """``(row, subtree, dropped)``: the template subtrees of each page, row a hash of the page's row."""
-    prepared = _prepared(pages)
-    found = prepared.select("row", "host", "html").mapInArrow(
-        _candidate_rows, "row long, host string, content long, subtree long, dropped boolean, within boolean"
-    )
+    """``(row, subtree)``: the template subtrees of each page, row a hash of the page's row."""
+    found = _prepared(pages).select("row", "host", "html").mapInArrow(_candidate_rows, "row long, host string, content long, subtree long")
     found = materialize(found, "subtrees")
-    counted = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("contents"))
+    counted = found.groupBy("host", "subtree", "content").agg(F.count("*").alias("rows"))
+    counted = counted.groupBy("host", "subtree").agg(F.count("*").alias("contents"), F.sum("rows").alias("rows"))
     counted = materialize(counted.filter(F.col("contents") >= least), "counted")
     every = counted.filter("subtree IS NULL").select("host", F.col("contents").alias("every"))
-    common = counted.filter("subtree IS NOT NULL").join(every, "host")
-    kept = ~F.col("within") | (F.col("contents") >= share * F.col("every"))
-    return found.join(common, ["host", "subtree"]).filter(kept).select("row", "subtree", "dropped")
+    common = counted.filter("subtree IS NOT NULL").join(every, "host").filter(F.col("contents") >= share * F.col("every"))
+    common = materialize(common.select("host", "subtree", "rows"), "template")
+    return join_groups(found, common, ["host", "subtree"]).select("row", "subtree")
 
 
 def extract_pages(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages(page_id, url, html)``."""
-    gone = (
-        template_subtrees(pages, least)
-        .filter("NOT dropped")  # the others go in any case
-        .groupBy("row")
-        .agg(F.collect_set("subtree").alias("template"))
-    )
+    gone = template_subtrees(pages, least).groupBy("row").agg(F.collect_set("subtree").alias("template"))
     joined = _prepared(pages).join(gone, "row", "left")
     return joined.select("page_id", "url", "html", "template").mapInArrow(_texts, "page_id long, url string, text string")

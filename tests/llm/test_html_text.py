@@ -1,4 +1,5 @@
 import os
+import random
 import re
 import sys
 from html import unescape
@@ -47,6 +48,11 @@ def test_whole_table(spark):
         ("<article class='post comments-open'><p>kept</p></article>", "kept"),
         ("<div class='has-sidebar content'>kept</div><div id=sidebar>no</div>", "kept"),
         ("<p title='a>b'>q</p></div></p><p a=\"unclosed>r", "q\nr"),
+        ("<article><header><p>by x</p><h1>Title</h1></header><p>Solve <math><mi>x</mi></math> <button>now</button></p></article>", "Title\nSolve x now"),
+        ("<body><header><h1>Site</h1></header><p>text</p></body>", "text"),
+        ("<article><section class=legal><p>l</p></section><p class=side>s</p><p class='social history'>h</p></article>", "l\ns\nh"),
+        ("<article><svg><title>no</title><text>label</text></svg><div class=site-header>no</div><div class=header>yes</div></article>", "label\nyes"),
+        ("<article><div id=cookie-banner>no</div><div class=comment-list>no</div><p class=notice>yes</p></article>", "yes"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
         ("<p>1 < 2 and a<b>c</p>", "1 < 2 and ac"),
         ("<style>p{}", ""),
@@ -96,3 +102,33 @@ def test_what_some_articles_of_a_host_share_stays(spark):
     for k in range(20):
         want = f"{k}\nA passage that five edited copies share\none" if k < 5 else f"{k}"
         assert got[k] == got[100 + k] == want
+
+
+def sites():
+    """Pages of hosts whose menus, adverts and footers are plain elements without telling names, and the article's text."""
+    rng, pages = random.Random(7), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for host in range(12):
+        n = [3, 4, 6, 25, 60][host % 5]
+        menu = "<div class=x1><ul>" + "".join(f"<li><a href=/{k}>{line(2)}</a></li>" for k in range(6)) + "</ul></div>"
+        foot = f"<div><span>{line(9)}</span><div>{line(4)}</div></div>"
+        box = f"<section><p>{line(30)}</p><p>{line(30)}</p></section>"
+        for k in range(n):
+            text = [line(rng.randint(5, 60)) for _ in range(rng.randint(1, 5))]
+            own = "<ul><li>" + line(3) + "</li></ul>"
+            body = "".join(f"<p>{t}</p>" for t in text[:-1]) + own + f"<p>{text[-1]}</p>"
+            wrapped = [f"<div>{body}</div>", f"<article>{body}{box}</article>", f"<main>{box}{body}</main>"][host % 3]
+            html = f"<html><body>{menu}{box if host % 3 == 0 else ''}{wrapped}{foot}</body></html>"
+            want = "\n".join([*text[:-1], re.search("<li>(.*)</li>", own)[1], text[-1]])
+            pages.append((len(pages), f"https://h{host}.example/{k}", html, want))
+    return pages
+
+
+def test_template_without_telling_names_is_found_by_counting(spark):
+    pages = sites()
+    table = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in ht.extract_pages(table).collect()}
+    assert got == {k: want for k, _, _, want in pages}
+    without = {r.page_id: r.text for r in ht.extract_pages(table, least=10**6).collect()}
+    assert all(without[k] != want for k, _, _, want in pages)
