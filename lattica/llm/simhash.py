@@ -61,17 +61,18 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         out = np.fromiter(
             (fingerprint(t.as_py().lower().split()) if t.is_valid else 0 for t in texts), np.uint64, len(texts)
         )
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long with the fingerprint's 64 bits."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``(doc_id, h, fp)``: a hash of the text, and as a signed long the fingerprint's 64 bits."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text.isNull(), text).alias("h"), text)
+    return docs.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -165,16 +166,42 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HO
     return rows.mapInArrow(_bucket_links(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``(doc_id, fp, component_id)``: component_id is the least doc_id reachable over links."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
+def _components(prints: DataFrame, radius: int, hot_bucket: int) -> DataFrame:
+    """``(fp, copies, root, head)`` for each fingerprint: head the first row of its component.
+
+    Rows are in order of doc_id, nulls last, then of the hash of their text.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h")
+    classes = materialize(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("copies")), "classes")
     links = fingerprint_links(classes.select("fp"), radius, hot_bucket)
     found = star_components(links.select("u", "v"))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")
+        "fp", "first", "copies", F.coalesce("component", "fp").alias("root")
     )
     rooted = materialize(rooted, "rooted")
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("rows"))
-    labels = join_groups(rooted, heads, ["root"]).select("fp", "component_id", F.col("copies").alias("rows"))
-    return join_groups(prints, materialize(labels, "labels"), ["fp"]).select("doc_id", "fp", "component_id")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("rows"))
+    return join_groups(rooted, heads, ["root"]).select("fp", "copies", "root", "head")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """``(doc_id, fp, component_id)``: component_id is the least doc_id reachable over links."""
+    prints = materialize(fingerprints(docs).select("doc_id", "h", "fp"), "fingerprints")
+    labels = _components(prints, radius, hot_bucket)
+    labels = materialize(labels.select("fp", F.col("head.doc_id").alias("component_id"), F.col("copies").alias("rows")), "labels")
+    return join_groups(prints.select("doc_id", "fp"), labels, ["fp"])
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Of each component one row of ``docs``, all columns as they are.
+
+    It is the row with the least doc_id, nulls last; of rows that share it that whose text has the
+    least hash, and one of those equal in both. Rows that share a doc_id but not a component stay.
+    """
+    prints = materialize(fingerprints(docs), "fingerprints")
+    heads = _components(prints, radius, hot_bucket).select("head").distinct().select("head.*")
+    key = lambda doc_id: [doc_id.isNull().alias("n"), F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("id")]
+    heads = materialize(heads.select(*key(F.col("doc_id")), "h"), "heads")
+    text = F.col("text").cast("string")
+    rows = docs.select(*key(F.col("doc_id")), F.xxhash64(text.isNull(), text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(heads, ["n", "id", "h"], "left_semi").dropDuplicates(["n", "id", "h"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
