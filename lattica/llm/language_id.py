@@ -4,14 +4,18 @@ Features of a text are the hashes of the 2-, 3- and 4-character pieces of its lo
 blank standing for the word's border; a text's vector is the mean of their embeddings. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on the driver. A
 temperature, fitted on examples that were not trained on, calibrates the scores. Short texts score
-lower, so rejection goes by length: the threshold of each length in ``EXAMPLE_WORDS`` is the
-``REJECTED`` quantile of the scores of those examples of that length that were predicted right, and
-a text is held against that of the greatest such length it has.
+lower, so rejection goes by length: each length in ``EXAMPLE_WORDS`` has a threshold, and a text is
+held against that of the greatest such length it has. For the greatest it is the ``REJECTED``
+quantile of the scores of whole documents that were not trained on and are predicted right, so
+documents with passages in other languages count as they are. For shorter ones, and where there are
+under ``LEAST_CALIBRATED`` such documents, it lies halfway between an even guess and that quantile
+for stretches of that length.
 
 Training reads about ``DOCS_PER_LANGUAGE`` documents of each language (all if there are fewer),
 chosen by the hash of their id, and of each at most ``EXAMPLES_PER_DOC`` stretches of up to 40 words
-(of up to 100 characters) spread over the whole text: a documented bound of the sample. Equal rows
-count once in it. Prediction reads whole texts.
+(of up to 100 characters) spread over the whole text: a documented bound of the sample, and so are
+the ``CALIBRATED_DOCS`` documents of each language that thresholds rest on. Equal rows count once.
+Prediction reads whole texts.
 
 A text that is null or has no letter (``str.isalpha``) is ``und`` with score 0 and always rejected.
 If no labelled row is left to learn from, every text is ``und``. A row whose doc_id is null is not
@@ -42,6 +46,8 @@ RATE = 0.5
 SEED = 3
 HELD_OUT_SHARE = 0.1
 REJECTED = 0.0005
+CALIBRATED_DOCS = 2000
+LEAST_CALIBRATED = 500
 LONG_TEXT = 6000
 BROADCAST_LANGUAGES = 10_000
 PIECES = (2, 3, 4)
@@ -158,7 +164,8 @@ def train(examples: list[tuple[str, str]], seed: int = SEED) -> Model:
         if scores.argmax() == y[i]:
             right[length_class(examples[i][0])].append(scores[y[i]])
     pooled = [x for r in right for x in r]
-    thresholds = [float(np.quantile(r or pooled, REJECTED)) if pooled else 0.0 for r in right]
+    chance = 1 / len(languages)
+    thresholds = [(chance + float(np.quantile(r or pooled, REJECTED))) / 2 if pooled else 0.0 for r in right]
     return Model(languages, table, b, temperature, thresholds)
 
 
@@ -189,11 +196,33 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     if counts.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
         counts = F.broadcast(counts)
-    pick = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = labelled.withColumn("pick", pick).join(counts, "lang")
-    chosen = chosen.filter(F.shiftrightunsigned("pick", 33) < F.lit(docs_per_language) / F.col("n") * float(1 << 31))
-    rows = chosen.select("pick", "text", "lang").distinct().mapInArrow(_stretches, "text string, lang string").collect()
-    return train([(r.text, r.lang) for r in rows])
+    share = F.shiftrightunsigned("pick", 33) / float(1 << 31) * F.col("n")
+    drawn = labelled.withColumn("pick", F.xxhash64("doc_id", F.lit(SEED))).join(counts, "lang").withColumn("place", share)
+    chosen = drawn.filter(F.col("place") < docs_per_language).select("pick", "text", "lang").distinct()
+    rows = chosen.mapInArrow(_stretches, "text string, lang string").collect()
+    model = train([(r.text, r.lang) for r in rows])
+    others = drawn.filter((F.col("place") >= docs_per_language) & (F.col("place") < docs_per_language + CALIBRATED_DOCS))
+    calibrate(model, others.select("doc_id", "text", "lang").distinct())
+    return model
+
+
+def calibrate(model: Model, docs: DataFrame) -> None:
+    """Sets the threshold of long texts by those of ``docs(doc_id, text, lang)`` that are predicted right."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, one column a language
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            scores = []
+            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found, score = own.predict(text)
+                if found == lang and length_class(text) == len(EXAMPLE_WORDS) - 1:
+                    scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"])
+
+    scores = docs.mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.percentile_approx("score", REJECTED, 100_000).alias("least")).first()
+    if scores["n"] >= LEAST_CALIBRATED:
+        model.thresholds[-1] = scores["least"]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
