@@ -11,13 +11,17 @@ unlike (0) any other text. Equal texts have equal fingerprints.
 
 ``successors`` gives every row the text that follows by ascending ``doc_id`` with one shuffle: rows
 are dealt to ranges of ids, and the first row of each range is dealt to the range before it too,
-where it serves only as successor. Nulls come last, equal ids by the hash of their text; the first
-row follows the last. Other columns are ignored.
+where it serves only as successor. Nulls come last, equal ids by the hash of their text, and ranges
+of that hash split them where they are many; the first row follows the last. Ranges are read as
+streams, so their size, which grows beyond ``MOST_RANGES`` of them, bounds no memory. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -174,23 +178,34 @@ def successors(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(MOST_RANGES, partitions * RANGES_PER_PARTITION)
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    found = docs.agg(F.percentile_approx("doc_id", shares, n * 20)).first()[0] or []
-    bounds = sorted(set(found))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_range_of(F.col("doc_id"), bounds))
-    rows = docs.select(part.alias("part"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "doc_id", "text")
+    found = docs.agg(
+        F.percentile_approx("doc_id", shares, n * 20).alias("bounds"), F.count("*").alias("rows"), F.count("doc_id").alias("with_id")
+    ).first()
+    times = Counter(found["bounds"] or [])
+    bounds = sorted(times)
+    # rows of an id that fills several ranges, and rows without id, are dealt by the hash of their text
+    pieces = [times[b] if times[b] > 1 else 0 for b in bounds] + [0, max(1, -(-(found["rows"] - found["with_id"]) * n // max(found["rows"], 1)))]
+    offsets = list(accumulate([p + 1 for p in pieces], initial=0))
+    at = lambda values, kind, place: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), place + 1)
+    span = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_range_of(F.col("doc_id"), bounds))
+    rows = docs.select(span.alias("span"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "doc_id", "text")
+    whole = F.col("doc_id").isNull() | (F.col("doc_id") == at([*bounds, None, None], "long", F.col("span")))
+    k = at(pieces, "int", F.col("span"))
+    piece = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * k), k - 1).cast("int") + 1
+    part = at(offsets[:-1], "int", F.col("span")) + F.when(whole & (k > 0), piece).otherwise(0)
+    rows = rows.select(part.alias("part"), "h", "doc_id", "text")
     heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("head")).orderBy("part").collect()  # one a range
     if not heads:
         return rows.select("part", F.lit(0).alias("ahead"), "doc_id", "text")
-    size = len(bounds) + 2
+    size = offsets[-1]
     ids, hs, before = [None] * size, [None] * size, [None] * size
     for k, r in enumerate(heads):
         ids[r["part"]], hs[r["part"]], before[r["part"]] = r["head"]["doc_id"], r["head"]["h"], heads[k - 1]["part"]
-    at = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("part") + 1)
-    leads = F.col("doc_id").eqNullSafe(at(ids, "long")) & (F.col("h") == at(hs, "long"))
+    leads = F.col("doc_id").eqNullSafe(at(ids, "long", F.col("part"))) & (F.col("h") == at(hs, "long", F.col("part")))
     places = F.array_compact(
         F.array(
             F.struct("part", F.lit(0).alias("ahead")),
-            F.when(leads, F.struct(at(before, "int").alias("part"), F.lit(1).alias("ahead"))),
+            F.when(leads, F.struct(at(before, "int", F.col("part")).alias("part"), F.lit(1).alias("ahead"))),
         )
     )
     dealt = rows.select(F.explode(places).alias("x"), "h", "doc_id", "text")

@@ -98,3 +98,16 @@ def test_edge_cases(spark):
     assert om.compare_edits(docs.unionAll(docs)).count() == 16
     some = documents(spark, ["a b", "c d", "e f"], ids=[None, 2, None])
     assert om.compare_edits(some).count() == 3
+
+
+def test_rows_without_id_and_of_one_id_are_split(spark):
+    texts = [f"word{k} {k} and more" for k in range(400)]
+    ids = [None if k < 150 else 7 if k < 300 else k for k in range(400)]
+    docs = documents(spark, texts, ids=ids)
+    dealt = om.successors(docs).filter("ahead = 0")
+    sizes = {r.part: r["count"] for r in dealt.groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 400 and max(sizes.values()) < 100
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(zip(ids, texts), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    want = sorted((i or -1, hashlib.sha256(om.edited(t, order[(k + 1) % 400][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in om.compare_edits(docs).collect()) == want
