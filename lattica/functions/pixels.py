@@ -40,3 +40,16 @@ def image_pixel(x: Column, y: Column, x0, x1, y0, y1, width: int, height: int) -
 def image_to_world(px: Column, py: Column, x0, x1, y0, y1, width: int, height: int) -> tuple[Column, Column]:
     """(c) inverse, up to truncation."""
     return px / (width - 1) * (x1 - x0) + x0, (height - 1 - py) / (height - 1) * (y1 - y0) + y0
+
+
+#: The colours by which images of grids are read, as (red, green, blue).
+COLOURS = {"black": (0, 0, 0), "red": (255, 0, 0), "green": (0, 255, 0), "white": (255, 255, 255)}
+
+
+def is_colour(name: str, r: Column, g: Column, b: Column) -> Column:
+    """Whether a pixel has exactly that colour."""
+    return (r == COLOURS[name][0]) & (g == COLOURS[name][1]) & (b == COLOURS[name][2])
+
+
+def is_transparent(alpha: Column) -> Column:
+    return alpha == 0

@@ -199,3 +199,16 @@ def distinct_color(n: Column) -> Vec:
     """Bytes r, g, b of a whole number modulo 2^24."""
     m = F.pmod(F.abs(n), F.lit(1 << 24))
     return F.shiftright(m, 16).bitwiseAND(255), F.shiftright(m, 8).bitwiseAND(255), m.bitwiseAND(255)
+
+
+def same_point(p: Vec, q: Vec, tolerance: float = 0.0) -> Column:
+    """Whether no coordinate differs by more than ``tolerance``; nulls are the same as nulls only."""
+    out = F.lit(True)
+    for a, b in zip(p, q):
+        out = out & F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
+    return out
+
+
+def sorted_corners(p: Vec, q: Vec) -> tuple[Vec, Vec]:
+    """The least and the largest corner of the box that has ``p`` and ``q`` as opposite ones."""
+    return tuple(F.least(a, b) for a, b in zip(p, q)), tuple(F.greatest(a, b) for a, b in zip(p, q))

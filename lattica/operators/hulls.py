@@ -117,35 +117,44 @@ def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
     far = 1e4
     pts = np.vstack([u, [[-3 * far, -far], [3 * far, -far], [0, 3 * far]]])
 
-    def circle(t):
+    # triangles with their circles, in arrays that double when full; a dead one has a negative square radius
+    corners, centres, squares, used = np.zeros((64, 3), np.int64), np.zeros((64, 2)), np.full(64, -1.0), 0
+
+    def add(t):
+        nonlocal corners, centres, squares, used
         a, b, c = pts[list(t)]
         d = 2 * ((b - a)[0] * (c - a)[1] - (b - a)[1] * (c - a)[0])
         if d == 0:
-            return None
+            return
+        if used == len(corners):
+            corners, centres, squares = np.tile(corners, (2, 1)), np.tile(centres, (2, 1)), np.r_[squares, np.full(used, -1.0)]
         e, f = ((b - a) ** 2).sum(), ((c - a) ** 2).sum()
         o = np.array([(c - a)[1] * e - (b - a)[1] * f, (b - a)[0] * f - (c - a)[0] * e]) / d
-        return a + o, (o**2).sum()
+        corners[used], centres[used], squares[used] = t, a + o, (o**2).sum()
+        used += 1
 
-    first = (n, n + 1, n + 2)
-    circles = {first: circle(first)}
+    add((n, n + 1, n + 2))
+    seen = set()
     for k in range(n):
-        if any((pts[k] == pts[j]).all() for j in range(k)):
+        at = tuple(xy[k].tolist())
+        if at in seen:
             continue
-        bad = [t for t, c in circles.items() if c and ((pts[k] - c[0]) ** 2).sum() < c[1] * (1 + 1e-12)]
+        seen.add(at)
+        gap = ((centres[:used] - pts[k]) ** 2).sum(axis=1)
+        bad = np.flatnonzero((gap < squares[:used] * (1 + 1e-12)) & (squares[:used] >= 0))
         sides: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
+        for a, b, c in corners[bad].tolist():
             for s in ((a, b), (b, c), (c, a)):
                 key = (min(s), max(s))
                 sides[key] = sides.get(key, 0) + 1
-            del circles[(a, b, c)]
+        squares[bad] = -1.0
         for (a, b), count in sides.items():
             if count == 1:
                 (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b], pts[k]
                 turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-                t = (a, b, k) if turn > 0 else (b, a, k)
-                if c := circle(t):
-                    circles[t] = c
-    return sorted(t for t in circles if max(t) < n)
+                add((a, b, k) if turn > 0 else (b, a, k))
+    live = corners[:used][squares[:used] >= 0]
+    return sorted(tuple(t) for t in live.tolist() if max(t) < n)
 
 
 def ring_by_angle(points: DataFrame) -> DataFrame:

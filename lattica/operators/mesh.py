@@ -9,6 +9,7 @@ from lattica.functions import vectors as V
 from lattica.operators.graph import components
 from lattica.operators.hot import join_groups
 from lattica.operators.joins import radius_pairs
+from lattica.session import materialize
 
 CORNERS = ("v0", "v1", "v2")
 
@@ -184,14 +185,15 @@ def dedupe_triangles(triangles: DataFrame) -> DataFrame:
 
 
 def drop_nonmanifold(triangles: DataFrame, vertices: DataFrame, rounds: int = 100) -> DataFrame:
-    """Drops, at each edge of more than two triangles, the smallest one, until there is none."""
-    from lattica.session import materialize
+    """Drops, at each edge of more than two triangles, the smallest one, until there is none.
 
+    Areas that agree to nine decimals tie, and the least id goes.
+    """
     for _ in range(rounds):
         bad = nonmanifold_edges(triangles).select("u", "v")
         if bad.isEmpty():
             return triangles
-        sized = with_coordinates(triangles, vertices).select("tri_id", V.area_cross(corner(0), corner(1), corner(2)).alias("area"))
+        sized = with_coordinates(triangles, vertices).select("tri_id", F.round(V.area_cross(corner(0), corner(1), corner(2)), 9).alias("area"))
         worst = (
             triangle_edges(triangles).join(bad, ["u", "v"]).join(sized, "tri_id").groupBy("u", "v").agg(F.min(F.struct("area", "tri_id")).alias("t"))
         ).select("t.tri_id")
@@ -284,16 +286,25 @@ def cuboid(p1, p2) -> tuple[list[tuple], list[tuple]]:
     return vertices, [(i, *t) for i, t in enumerate(triangles)]
 
 
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """(column, place) of distinct numbers in ascending order, by ranges of values."""
+    from lattica.operators.joins import argsort
+
+    keyed = rows.select(F.col(column).alias("point_id"), F.col(column).cast("double").alias("key"))
+    return argsort(keyed, "key").select(F.col("point_id").alias(column), "place")
+
+
 def polyline(points: DataFrame, kind: str = "ring") -> DataFrame:
-    """Default connectivity of ``points(seq)``: consecutive ``ring`` or disjoint ``pairs``, as (edge_id, u, v)."""
-    order = Window.orderBy("seq")
+    """Default connectivity of ``points(seq)``, distinct: consecutive ``ring`` or disjoint ``pairs``, as (edge_id, u, v)."""
+    ranked = materialize(_ranked(points, "seq"), "ranked")
+    n = ranked.count()
+    if kind == "pairs" and n % 2:
+        raise ValueError("an odd number of points")
+    following = ranked.select(F.col("seq").alias("v"), F.pmod(F.col("place") - 1, F.lit(max(n, 1))).alias("place"))
+    rows = ranked.join(following, "place").select(F.col("place").cast("long").alias("edge_id"), F.col("seq").alias("u"), "v")
     if kind == "pairs":
-        rows = points.withColumns({"k": F.row_number().over(order) - 1, "v": F.lead("seq").over(order)})
-        rows = rows.filter("k % 2 = 0")
-        return rows.select((F.col("k") / 2).cast("long").alias("edge_id"), F.when(F.col("v").isNull(), F.raise_error(F.lit("an odd number of points"))).otherwise(F.col("seq")).alias("u"), "v")
-    first = F.first("seq").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = points.withColumns({"edge_id": F.row_number().over(order) - 1, "v": F.coalesce(F.lead("seq").over(order), first)})
-    return rows.select(F.col("edge_id").cast("long"), F.col("seq").alias("u"), "v")
+        return rows.filter("edge_id % 2 = 0").withColumn("edge_id", F.expr("edge_id div 2"))
+    return rows
 
 
 def union_clouds(*clouds: DataFrame) -> DataFrame:
@@ -312,6 +323,6 @@ def merge_points(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     fresh = new.join(old.select("x", "y", "z"), ["x", "y", "z"], "left_anti").groupBy("x", "y", "z").agg(F.min("seq").alias("seq"))
     top = old.agg(F.coalesce(F.max("point_id"), F.lit(-1)).alias("top"))
-    rank = F.row_number().over(Window.orderBy("seq"))
-    added = fresh.crossJoin(F.broadcast(top)).select((F.col("top") + rank).alias("point_id"), "x", "y", "z")
+    fresh = materialize(fresh, "fresh")
+    added = fresh.join(_ranked(fresh, "seq"), "seq").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place") + 1).alias("point_id"), "x", "y", "z")
     return old.select("point_id", "x", "y", "z").unionByName(added)

@@ -162,10 +162,35 @@ def kmeans(points: DataFrame, k: int, columns: list[str], seed: int = 0) -> tupl
     return model.transform(rows).select("point_id", F.col("cluster").cast("long").alias("cluster")), [c.tolist() for c in model.clusterCenters()]
 
 
+def lloyd(points: DataFrame, k: int, columns: list[str], rounds: int = 10, seed: int = 0) -> tuple[DataFrame, list[list[float]]]:
+    """Labels (point_id, cluster) and centres after ``rounds`` of Lloyd's algorithm, the same on any cluster.
+
+    Starts from the k points of least seeded hash of their id, of those that agree to nine decimals
+    one. A round is one aggregate over the points; each goes to its nearest centre, ties to the
+    first. A centre without points stays. With under k different points there are fewer centres.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(seed), "point_id"))
+    first = points.groupBy(*[F.round(c, 9) for c in columns]).agg(F.min(F.struct(key.alias("key"), "point_id", *columns)).alias("p")).select("p.*")
+    centres = [[r[c] for c in columns] for r in first.orderBy("key", "point_id").limit(k).collect()]
+
+    def labelled():
+        gaps = [sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, at)), F.lit(0.0)) for at in centres]
+        best = F.array_min(F.array(*[F.struct(g.alias("d2"), F.lit(i).cast("long").alias("i")) for i, g in enumerate(gaps)]))
+        return points.withColumn("cluster", best["i"])
+
+    for _ in range(rounds if centres else 0):
+        means = labelled().groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).collect()  # k rows
+        for r in means:
+            centres[r["cluster"]] = [r[c] for c in columns]
+    if not centres:
+        return points.select("point_id", F.lit(None).cast("long").alias("cluster")).limit(0), []
+    return labelled().select("point_id", "cluster"), centres
+
+
 def align_rotation(centres: list[list[float]]) -> np.ndarray:
-    """Rotation that best turns the first three centres to the axes x, y, z (Kabsch)."""
-    a = np.array(centres[:3], float)
-    u, _, vt = np.linalg.svd(a.T)
+    """Rotation that best turns the first three centres, or as many as there are, to the axes x, y, z (Kabsch)."""
+    a = np.array(centres[:3], float).reshape(-1, 3)
+    u, _, vt = np.linalg.svd(a.T @ np.eye(3)[: len(a)])
     d = np.sign(np.linalg.det(vt.T @ u.T))
     return vt.T @ np.diag([1, 1, d]) @ u.T
 

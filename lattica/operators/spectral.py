@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.graph import components
 from lattica.operators.mesh import adjacency, degrees
+from lattica.session import materialize
 
-#: A dense spectrum is computed up to this many vertices.
+#: A component's spectrum is computed densely up to this many vertices.
 DENSE_VERTICES = 6000
+#: Beyond, Lanczos holds a basis of some times the pairs wanted, each as long as the component.
+LANCZOS_VERTICES = 200_000
+LANCZOS_PAIRS = 100
 
 
 def adjacency_matrix(triangles: DataFrame) -> DataFrame:
@@ -52,42 +57,122 @@ def multiply(matrix: DataFrame, values: DataFrame, columns: list[str]) -> DataFr
     return rows.groupBy(F.col("i").alias("vertex_id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
 
 
-def spectrum(triangles: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vertex ids, eigenvalues, ascending, and eigenvectors of the graph Laplacian, dense, on the driver.
+def _csr_product(i: np.ndarray, j: np.ndarray, n: int):
+    """x to the product of the graph Laplacian with x, for directed edges sorted by i; every vertex has one."""
+    starts = np.searchsorted(i, np.arange(n))
+    degree = np.diff(np.r_[starts, len(i)])
+    return lambda x: degree * x - np.add.reduceat(x[j], starts)
 
-    Refused beyond ``DENSE_VERTICES`` vertices, whose matrix would not fit; use ``smallest_spectrum``.
+
+def lanczos(product, n: int, k: int, tolerance: float = 1e-9, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The k least eigenvalues, ascending, and eigenvectors of a symmetric operator, by Lanczos with full orthogonalisation.
+
+    Pairs at the low end that have converged are locked; new starts orthogonal to them go on until
+    one brings nothing below the k-th, so multiple eigenvalues are found as often as they are.
     """
-    lap = graph_laplacian(triangles)
+    rng = np.random.default_rng(seed)
+    values, vectors = np.zeros(0), np.zeros((n, 0))
+    while True:
+        basis = np.zeros((n, min(n - len(values), 64)))
+        alpha, beta = [], []
+        q = rng.standard_normal(n)
+        q -= vectors @ (vectors.T @ q)
+        q /= np.linalg.norm(q)
+        done = None
+        for step in range(n - len(values)):
+            if step == basis.shape[1]:
+                basis = np.hstack([basis, np.zeros((n, min(n - len(values) - step, step)))])
+            basis[:, step] = q
+            w = product(q)
+            alpha.append(float(q @ w))
+            for _ in range(2):
+                w -= basis[:, : step + 1] @ (basis[:, : step + 1].T @ w)
+                w -= vectors @ (vectors.T @ w)
+            size = float(np.linalg.norm(w))
+            last = step + 1 == n - len(values) or size < 1e-12
+            if last or (step + 1) % 32 == 0:
+                t = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
+                ritz, s = np.linalg.eigh(t)
+                good = np.abs(s[-1]) * size < tolerance
+                count = len(ritz) if last else int(np.argmin(np.r_[good, False]))
+                if last or count >= min(k, 1 + len(ritz) // 4):
+                    done = ritz[:count], basis[:, : step + 1] @ s[:, :count]
+                    break
+            beta.append(size)
+            q = w / size
+        found = done[0]
+        missed = len(values) < k or found[0] < np.sort(values)[k - 1] - tolerance
+        values, vectors = np.r_[values, found], np.hstack([vectors, done[1]])
+        if not missed or len(values) >= n:
+            order = np.argsort(values, kind="stable")[:k]
+            return values[order], vectors[:, order]
+
+
+def _pairs_of(k: int | None, vectors: bool):
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["i", "j"])
+        ids, i = np.unique(pdf["i"].to_numpy(), return_inverse=True)
+        j, n = np.searchsorted(ids, pdf["j"].to_numpy()), len(ids)
+        if n <= DENSE_VERTICES:
+            dense = np.zeros((n, n))
+            dense[i, j] = -1.0
+            dense[np.arange(n), np.arange(n)] = np.bincount(i, minlength=n)
+            values, u = np.linalg.eigh(dense)
+            values, u = values[:k], u[:, :k]
+        elif k is None or k > LANCZOS_PAIRS or n > LANCZOS_VERTICES:
+            raise ValueError(f"a component of {n} vertices is too large for {'all' if k is None else k} eigenvalues")
+        else:
+            values, u = lanczos(_csr_product(i, j, n), n, k)
+        rows = {"component": key[0], "place": np.arange(len(values)), "value": values}
+        rows["vertex_ids"] = [ids if vectors else None] * len(values)
+        rows["vector"] = [u[:, c] if vectors else None for c in range(len(values))]
+        return pd.DataFrame(rows)
+
+    return run
+
+
+def spectrum(triangles: DataFrame, k: int | None = None, vectors: bool = True, strategy: str = "auto") -> DataFrame:
+    """``(component, place, value, vertex_ids, vector)``: eigenpairs of the graph Laplacian, of each component by ascending value.
+
+    The matrix falls apart into the components of the mesh, each of which one task solves: densely
+    up to ``DENSE_VERTICES`` vertices, beyond by Lanczos, which finds up to ``LANCZOS_PAIRS`` pairs
+    of components of up to ``LANCZOS_VERTICES`` vertices; more is refused. ``k`` bounds the pairs of
+    a component, so the k least of all are among them.
+    """
+    near = adjacency(triangles)
+    labels = components(near.filter("u < v"), strategy=strategy)
+    rows = near.join(labels, near["u"] == labels["node"]).select("component", F.col("u").alias("i"), F.col("v").alias("j"))
+    return rows.groupBy("component").applyInPandas(
+        _pairs_of(k, vectors), "component long, place long, value double, vertex_ids array<long>, vector array<double>"
+    )
+
+
+def smallest_spectrum(triangles: DataFrame, k: int, vectors: bool = True) -> DataFrame:
+    """The ``k`` least eigenpairs of the whole mesh, with ``rank`` from 0; ties by component."""
+    least = spectrum(triangles, k, vectors).orderBy("value", "component", "place").limit(k)
+    return least.withColumn("rank", F.row_number().over(Window.orderBy("value", "component", "place")) - 1)  # k rows
+
+
+def partial_spectrum(triangles: DataFrame, share: float, vectors: bool = True) -> DataFrame:
+    """The ``int(n * share)`` least eigenpairs, n the number of vertices with an edge."""
     n = degrees(triangles).count()
-    if n > DENSE_VERTICES:
-        raise ValueError(f"{n} vertices are too many for a dense spectrum")
-    rows = lap.collect()
-    ids = np.unique([r.i for r in rows])
-    at = {v: k for k, v in enumerate(ids.tolist())}
-    dense = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        dense[at[r.i], at[r.j]] += r.w
-    values, vectors = np.linalg.eigh(dense)
-    return ids, values, vectors
-
-
-def partial_spectrum(triangles: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``int(n * share)`` smallest eigenvalues and their vectors."""
-    ids, values, vectors = spectrum(triangles)
-    k = int(len(ids) * share)
-    if not 0 < k <= len(ids):
-        raise ValueError(f"{k} eigenvalues of {len(ids)}")
-    return ids, values[:k], vectors[:, :k]
+    k = int(n * share)
+    if not 0 < k <= n:
+        raise ValueError(f"{k} eigenvalues of {n}")
+    return smallest_spectrum(triangles, k, vectors)
 
 
 def low_pass(triangles: DataFrame, vertices: DataFrame, share: float, without: int | None = None) -> DataFrame:
-    """Vertices projected on the smoothest eigenvectors; ``without`` leaves one of them out."""
-    ids, _, u = partial_spectrum(triangles, share)
+    """Vertices projected on the smoothest eigenvectors; ``without`` leaves the one of that rank out."""
+    pairs = partial_spectrum(triangles, share)
     if without is not None:
-        u = np.delete(u, without, axis=1)
-    xyz = {r.vertex_id: (r.x, r.y, r.z) for r in vertices.join(triangles.sparkSession.createDataFrame([(int(i),) for i in ids], "vertex_id long"), "vertex_id").collect()}
-    out = u @ (u.T @ np.array([xyz[int(i)] for i in ids]))
-    return triangles.sparkSession.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, out)], "vertex_id long, x double, y double, z double")
+        pairs = pairs.filter(F.col("rank") != without)
+    pairs = materialize(pairs.select("rank", "vertex_ids", "vector"), "eigenvectors")
+    entries = pairs.select("rank", F.explode(F.arrays_zip("vertex_ids", "vector")).alias("e")).select("rank", F.col("e.vertex_ids").alias("vertex_id"), F.col("e.vector").alias("u"))
+    shares = entries.join(vertices, "vertex_id").groupBy("rank").agg(*[F.sum(F.col("u") * F.col(a)).alias(f"c{a}") for a in "xyz"])
+    return entries.join(shares, "rank").groupBy("vertex_id").agg(*[F.sum(F.col("u") * F.col(f"c{a}")).alias(a) for a in "xyz"])
 
 
 def scaled_sigmoid(values: DataFrame, column: str, shift: float = 0.5, gain: float = 20.0, quantile: float | None = None) -> DataFrame:

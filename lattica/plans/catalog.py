@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.plans import grids, meshes, pipelines, points
+from lattica.plans import grids, meshes, models, pipelines, points
 
 
 def queries():
-    return {**meshes.register.queries, **points.register.queries, **grids.register.queries, **pipelines.register.queries}
+    return {**meshes.register.queries, **points.register.queries, **grids.register.queries, **models.register.queries, **pipelines.register.queries}
 
 
 def oracle_sql():
-    return {**meshes.register.oracles, **points.register.oracles, **grids.register.oracles}
+    return {**meshes.register.oracles, **points.register.oracles, **grids.register.oracles, **models.register.oracles, **pipelines.register.oracles}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions import vectors as V
 from lattica.operators import hulls, mesh, planes, sampling, spectral, walls
 from lattica.plans.inputs import component_tables, emb, sql, triangles, vertices
-from lattica.plans.points import wall_tables
+from lattica.plans.points import extract_tables, wall_tables
 from lattica.plans.register import Register, rounded
 from lattica.session import table
 
@@ -330,10 +330,10 @@ def dedupe_tris(spark, d):
     return mesh.dedupe_triangles(t.unionByName(turned).unionByName(flat)).select("tri_id")
 
 
-@register("append_triangles", sql("SELECT count(*) AS n, sum(v0)::BIGINT AS s FROM (SELECT v0 FROM tri UNION ALL SELECT v0 FROM tri WHERE tri_id % 2 = 0)"))
+@register("append_triangles", sql("SELECT * FROM tri UNION ALL SELECT * FROM tri WHERE tri_id % 2 = 0"))
 def append_triangles(spark, d):
     t = triangles(spark, d)
-    return t.unionByName(t.filter("tri_id % 2 = 0")).agg(F.count("*").alias("n"), F.sum("v0").alias("s"))
+    return t.unionByName(t.filter("tri_id % 2 = 0"))
 
 
 @register("polygon_ring", "SELECT s_suppkey AS u, coalesce(lead(s_suppkey) OVER (ORDER BY s_suppkey), min(s_suppkey) OVER ()) AS v, row_number() OVER (ORDER BY s_suppkey) - 1 AS edge_id FROM supplier")
@@ -448,13 +448,6 @@ def delta_norm(spark, d):
     return spectral.delta_norms(triangles(spark, d), vertices(spark, d)).select("vertex_id", *rounded(norm=F.col("norm")))
 
 
-@register("spectrum_sums", sql("SELECT round(sum(n), 4)::DOUBLE AS s1, round(sum(n * n + n), 4)::DOUBLE AS s2 FROM deg", ADJ))
-def spectrum_sums(spark, d):
-    """Sum and sum of squares of the Laplacian's eigenvalues, as its trace and its Frobenius norm."""
-    rows = spectral.graph_laplacian(triangles(spark, d))
-    return rows.agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("w"))), 4).alias("s1"), F.round(F.sum(F.col("w") ** 2), 4).alias("s2"))
-
-
 @register("laplacian_apply", sql("SELECT vertex_id, round(dx * n, 5) AS x, round(dy * n, 5) AS y, round(dz * n, 5) AS z FROM delta JOIN deg ON i = vertex_id", ADJ + "," + DELTA))
 def laplacian_apply(spark, d):
     """Sparse matrix times coordinates."""
@@ -462,7 +455,19 @@ def laplacian_apply(spark, d):
     return m.select("vertex_id", *rounded(5, **dict(zip("xyz", V.point()))))
 
 
-@register("wall_angles")
+WALL_ANGLES = """angles AS (SELECT degrees(acos(greatest(-1, least(1, a)))) AS v, sum(1) AS w FROM (SELECT plane_id, a, b, c, d FROM planes) GROUP BY plane_id, a, b, c, d),
+per AS (SELECT v, sum(w)::DOUBLE AS w FROM angles GROUP BY v),
+split AS (SELECT a.v, sum(b.w) FILTER (b.v <= a.v) AS w1, sum(b.v * b.w) FILTER (b.v <= a.v) AS s1, sum(b.w) AS w, sum(b.v * b.w) AS s FROM per a, per b GROUP BY a.v)"""
+
+
+@register(
+    "wall_angles",
+    sql(
+        """SELECT round(s1 / w1, 4) AS lo, round(CASE WHEN w > w1 THEN (s - s1) / (w - w1) ELSE s1 / w1 END, 4) AS hi FROM split
+ORDER BY CASE WHEN w > w1 THEN s1 * s1 / w1 + (s - s1) ** 2 / (w - w1) ELSE -1 END DESC, v LIMIT 1""",
+        extract_tables("emb", 60, 0.03, 3, 20, 0.5, 1.0, 14) + ", " + WALL_ANGLES,
+    ),
+)
 def wall_angles(spark, d):
     """Angle of each vertical plane's normal to the x axis, and the rotation that squares the room."""
     found = planes.extract_planes(emb(spark, d), 0.03, most=3, least=20, iterations=60, vertical=0.5)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lattica.functions import pixels as P
 from lattica.functions import vectors as V
 from lattica.operators import grid, hulls, joins, mesh, planes, regions, sampling, walls
-from lattica.plans.inputs import emb, triangles, vertices
+from lattica.plans.inputs import emb, sql, triangles, vertices
+from lattica.plans.points import EMB_WALL, XYZ, wall_tables
 from lattica.plans.register import Register, rounded
 from lattica.session import materialize
 
@@ -91,9 +92,9 @@ def path_to_door(
     return path.select("step", P.cell_to_world(F.col("cx"), x0, x1, w).alias("x"), P.cell_to_world(F.col("cy"), y0, y1, h).alias("y"))
 
 
-@register("strip_walls")
+@register("strip_walls", sql(f"SELECT {XYZ} FROM emb JOIN flags USING (point_id) WHERE fx + fy + fz = 0", wall_tables("emb", EMB_WALL)))
 def strip_walls_query(spark, d):
-    p = strip_walls(emb(spark, d), slab=0.05, column=0.05, thresholds=((0.1, 0.1), (0.1, 0.1), (0.08, 0.09)))
+    p = strip_walls(emb(spark, d), **EMB_WALL)
     return p.select("point_id", *rounded(**dict(zip("xyz", V.point()))))
 
 

@@ -440,10 +440,9 @@ def argsort_axes(spark, d):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-@register("union_clouds", sql("SELECT cloud, count(*) AS n, round(sum(x), 4) AS sx FROM (SELECT 0::BIGINT AS cloud, x FROM emb UNION ALL SELECT 1, x FROM sales) GROUP BY cloud"))
+@register("union_clouds", sql("SELECT 0::BIGINT AS cloud, x, y, z FROM emb UNION ALL SELECT 1, x, y, z FROM sales"))
 def union_both(spark, d):
-    both = union_clouds(emb(spark, d).select("x", "y", "z"), sales(spark, d))
-    return both.groupBy("cloud").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"))
+    return union_clouds(emb(spark, d).select("x", "y", "z"), sales(spark, d)).select("cloud", "x", "y", "z")
 
 
 @register("dedupe_points", sql("SELECT DISTINCT x, z FROM sales"))
@@ -609,11 +608,31 @@ def multi_planes(spark, d):
     return planes.extract_planes(emb(spark, d), 0.03, most=2, least=20, iterations=60).select("plane_id", "point_id")
 
 
-@register("vertical_planes")
+def extract_tables(source: str, iterations: int, threshold: float, most: int, least: int, vertical: float, drop_share: float, rounds: int) -> str:
+    """CTE planes(plane_id, a, b, c, d, point_id) of the extraction loop, unrolled for ``rounds`` rounds, which must do."""
+    parts = [f"l0 AS MATERIALIZED (SELECT point_id, x, y, z FROM {source}), s0 AS (SELECT 0 AS k)"]
+    for t in range(rounds):
+        near = f"abs(a * x + b * y + c * z + d) < {threshold}e0"
+        drawn = f"('0x' || substr(md5(concat_ws(':', 1, {t}, point_id)), 1, 8))::BIGINT / 4294967296e0 < {drop_share}e0"
+        parts.append(plane_tables(f"l{t}", iterations, threshold, f"r{t}").replace(" AS (", " AS MATERIALIZED ("))
+        parts.append(f"h{t} AS MATERIALIZED (SELECT r{t}best.*, k, abs(c) < {vertical}e0 AS kept FROM r{t}best, s{t} WHERE k < {most} AND n >= {least})")
+        parts.append(f"l{t + 1} AS MATERIALIZED (SELECT point_id, x, y, z FROM l{t}, h{t} WHERE NOT ({near} AND (kept OR {drawn})))")
+        parts.append(f"s{t + 1} AS MATERIALIZED (SELECT k + kept::INT AS k FROM h{t})")
+    found = [f"SELECT k::BIGINT AS plane_id, a, b, c, d, point_id FROM l{t}, h{t} WHERE kept AND abs(a * x + b * y + c * z + d) < {threshold}e0" for t in range(rounds)]
+    return ",".join(parts) + f", planes AS ({' UNION ALL '.join(found)})"
+
+
+@register("vertical_planes", sql("SELECT plane_id, point_id FROM planes", extract_tables("emb", 60, 0.03, 3, 20, 0.3, 0.25, 40)))
 def vertical_planes(spark, d):
     return planes.extract_planes(emb(spark, d), 0.03, most=3, least=20, iterations=60, vertical=0.3, drop_share=0.25).select("plane_id", "point_id")
 
 
+@register("vertical_planes_all", sql("SELECT plane_id, point_id FROM planes", extract_tables("emb", 60, 0.04, 3, 20, 0.1, 1.0, 14)))
+def vertical_planes_all(spark, d):
+    """The second form: planes that are not vertical lose all their inliers."""
+    return planes.extract_planes(emb(spark, d), 0.04, most=3, least=20, iterations=60, vertical=0.1, drop_share=1.0).select("plane_id", "point_id")
+
+
 @register(
     "voxel_downsample",
     sql(
@@ -648,6 +667,7 @@ def principal_frame(spark, d):
 
 @register("kmeans_sizes")
 def kmeans_sizes(spark, d):
+    """By ``pyspark.ml``, whose start no SQL repeats; kmeans_cloud has an oracle."""
     labels, _ = planes.kmeans(emb(spark, d), 6, ["x", "y", "z"])
     return labels.groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -677,7 +697,26 @@ def convex_hull(spark, d):
     return hulls.convex_hulls(_regions_xy(spark, d)).select("region_id", "point_id")
 
 
-@register("hull_enlarged")
+ENLARGED = f"""
+corners AS MATERIALIZED (SELECT DISTINCT a.region_id, a.point_id, a.x, a.y FROM rp a JOIN rp b ON b.region_id = a.region_id AND (b.x <> a.x OR b.y <> a.y)
+WHERE NOT EXISTS (SELECT 1 FROM rp c WHERE c.region_id = a.region_id AND ({TURN} < 0 OR {TURN} = 0 AND (b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y) > 0
+  OR {TURN} = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0))),
+middle AS (SELECT region_id, avg(x) AS mx, avg(y) AS my FROM rp GROUP BY region_id HAVING count(*) > 2),
+away AS MATERIALIZED (SELECT *, sqrt((x - mx) ** 2 + (y - my) ** 2) AS far FROM corners JOIN middle USING (region_id)),
+scaled AS (SELECT *, 1.6e0 - 0.4e0 * (far - min(far) OVER w) / nullif(max(far) OVER w - min(far) OVER w, 0) AS f FROM away WINDOW w AS (PARTITION BY region_id)),
+ep AS MATERIALIZED (SELECT region_id, point_id, mx + f * (x - mx) AS x, my + f * (y - my) AS y FROM scaled WHERE f IS NOT NULL),
+eh AS MATERIALIZED (SELECT DISTINCT a.region_id, a.point_id, a.x, a.y FROM ep a JOIN ep b ON b.region_id = a.region_id AND (b.x <> a.x OR b.y <> a.y)
+WHERE NOT EXISTS (SELECT 1 FROM ep c WHERE c.region_id = a.region_id AND ({TURN} < 0 OR {TURN} = 0 AND (b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y) > 0
+  OR {TURN} = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0))),
+turned AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY atan2(y - cy, x - cx)) AS k, count(*) OVER (PARTITION BY region_id) AS n
+  FROM (SELECT *, avg(x) OVER (PARTITION BY region_id) AS cx, avg(y) OVER (PARTITION BY region_id) AS cy FROM eh)),
+began AS (SELECT region_id, arg_min(k, (x, y)) AS k0 FROM turned GROUP BY region_id)"""
+
+
+@register(
+    "hull_enlarged",
+    sql("SELECT region_id, (k - k0 + n) % n AS seq, point_id, round(x, 6) AS x, round(y, 6) AS y FROM turned JOIN began USING (region_id)", REGIONS + "," + HULL_POINTS + "," + ENLARGED),
+)
 def hull_enlarged(spark, d):
     return hulls.enlarged_hulls(_regions_xy(spark, d)).select("region_id", "seq", "point_id", *rounded(x=F.col("x"), y=F.col("y")))
 

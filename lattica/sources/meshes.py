@@ -154,22 +154,22 @@ def parse_pcd(data: bytes):
     return rows
 
 
-def _parsed(path: str, data: bytes):
-    name = path.lower()
-    if name.endswith(".obj"):
+def _parsed(path: str, data: bytes, kind: str | None):
+    kind = kind or path.lower().rpartition(".")[2]
+    if kind == "obj":
         return parse_obj(data.decode("utf-8", "replace"))
-    if name.endswith(".ply"):
+    if kind == "ply":
         return parse_ply(data)
-    if name.endswith(".pcd"):
+    if kind == "pcd":
         return parse_pcd(data), np.zeros((0, 3), np.int64)
     raise FormatError(f"unknown file type: {path}")
 
 
-def _reader(part: int, names):
+def _reader(part: int, names, format_name: str | None):
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = _parsed(path, content.as_py())[part]
+                rows = _parsed(path, content.as_py(), format_name)[part]
                 kind = pa.float64() if part == 0 else pa.int64()
                 columns = [pa.array([path] * len(rows), pa.string()), pa.array(np.arange(len(rows)))]
                 columns += [pa.array(rows[:, k], kind) for k in range(3)]
@@ -182,22 +182,26 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, triangles) of one or many OBJ or PLY files; ids are places in the file, from 0."""
+def read_mesh(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles) of one or many OBJ or PLY files; ids are places in the file, from 0.
+
+    ``kind`` is ``obj``, ``ply`` or ``pcd``; without it the file's name tells, which for a folder
+    that the writers below made it does not.
+    """
     files = _files(spark, path)
-    vertices = files.mapInArrow(_reader(0, ["mesh_id", "vertex_id", "x", "y", "z"]), VERTICES_DDL)
-    triangles = files.mapInArrow(_reader(1, ["mesh_id", "tri_id", "v0", "v1", "v2"]), TRIANGLES_DDL)
+    vertices = files.mapInArrow(_reader(0, ["mesh_id", "vertex_id", "x", "y", "z"], kind), VERTICES_DDL)
+    triangles = files.mapInArrow(_reader(1, ["mesh_id", "tri_id", "v0", "v1", "v2"], kind), TRIANGLES_DDL)
     return vertices, triangles
 
 
-def read_cloud(spark: SparkSession, path: str) -> DataFrame:
-    """Points of one or many PLY, PCD or OBJ files."""
-    return _files(spark, path).mapInArrow(_reader(0, ["cloud_id", "point_id", "x", "y", "z"]), POINTS_DDL)
+def read_cloud(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Points of one or many PLY, PCD or OBJ files; ``kind`` as for ``read_mesh``."""
+    return _files(spark, path).mapInArrow(_reader(0, ["cloud_id", "point_id", "x", "y", "z"], kind), POINTS_DDL)
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
     """One text file in the folder ``path``, lines in the order of ``seq``."""
-    lines.orderBy("seq").coalesce(1).select("line").write.mode("overwrite").text(path)
+    lines.repartition(1).sortWithinPartitions("seq").select("line").write.mode("overwrite").text(path)
 
 
 def _line(seq, *parts):

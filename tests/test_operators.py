@@ -11,6 +11,7 @@ from lattica.functions import vectors as V
 from lattica.operators import graph, grid, hot, hulls, joins, mesh, planes, regions, sampling, spectral, walls
 from lattica.plans.inputs import emb, floor, triangles, vertices
 from lattica.session import shared_dir
+from lattica.sources import rasters
 from lattica.streaming import voxels
 
 SF = "/root/testdata/sf0.001"
@@ -295,6 +296,51 @@ def test_spectral_identities(spark):
     assert [r.scaled for r in spectral.scaled_sigmoid(flat, "x").collect()] == [0.0, 0.0]
 
 
+def test_lanczos_finds_the_least_eigenvalues_with_multiplicity():
+    # two equal rings and a path: every eigenvalue of a ring but the ends occurs twice in it
+    rings = [(k + o, (k + 1) % 90 + o) for o in (0, 90) for k in range(90)] + [(180 + k, 181 + k) for k in range(60)]
+    n = 241
+    i, j = np.array([(a, b) for a, b in rings] + [(b, a) for a, b in rings]).T
+    order = np.lexsort((j, i))
+    dense = np.zeros((n, n))
+    dense[i, j] = -1
+    dense[np.arange(n), np.arange(n)] = -dense.sum(axis=1)
+    want = np.linalg.eigvalsh(dense)
+    for k in (1, 5, 23):
+        values, vectors = spectral.lanczos(spectral._csr_product(i[order], j[order], n), n, k)
+        assert np.allclose(values, want[:k], atol=1e-7)
+        assert np.allclose(dense @ vectors, vectors * values, atol=1e-6) and np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-6)
+
+
+def test_lanczos_and_dense_spectra_agree(spark, monkeypatch):
+    t, v = triangles(spark, SF), vertices(spark, SF)
+    want = [r.value for r in spectral.smallest_spectrum(t, 12, vectors=False).orderBy("rank").collect()]
+    energy = lambda: spectral.low_pass(t, v, 0.05).agg(F.sum(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).first()[0]
+    whole = energy()
+    monkeypatch.setattr(spectral, "DENSE_VERTICES", 30)
+    got = [r.value for r in spectral.smallest_spectrum(t, 12, vectors=False).orderBy("rank").collect()]
+    assert np.allclose(got, want, atol=1e-7) and energy() == pytest.approx(whole, rel=1e-6)
+    with pytest.raises(Exception, match="too large"):
+        spectral.spectrum(t, vectors=False).collect()
+
+
+def test_lloyd_of_one_and_no_point(spark):
+    labels, centres = planes.lloyd(cloud(spark, [(1, 2, 3)] * 4), 3, list("xyz"))
+    assert centres == [[1.0, 2.0, 3.0]] and {r.cluster for r in labels.collect()} == {0}
+    labels, centres = planes.lloyd(cloud(spark, [(1, 2, 3)]).limit(0), 3, list("xyz"))
+    assert centres == [] and labels.count() == 0
+
+
+def test_images_round_trip(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 7), (2, 1, 255), (9, 9, 1)], "cx long, cy long, state int")
+    rasters.write_pgm(cells, 3, 2, str(tmp_path / "image"))
+    got = {(r.cx, r.cy): r.state for r in rasters.read_pgm(spark, str(tmp_path / "image")).collect()}
+    assert got == {(x, y): 0 for x in range(3) for y in range(2)} | {(0, 0): 7, (2, 1): 255}
+    for bad in (b"P5 1 1 255 0", b"P2 2 2 255 1 2 3"):
+        with pytest.raises(rasters.FormatError):
+            rasters.parse_pgm(bad)
+
+
 def test_streamed_voxel_counts_equal_batch(spark, tmp_path):
     p = emb(spark, SF).withColumn("ts", F.timestamp_seconds(F.col("point_id") * 60))
     path = str(tmp_path / "in")
