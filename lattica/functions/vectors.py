@@ -41,6 +41,11 @@ def cross(a: Vec, b: Vec) -> Vec:
     return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
 
+def cross2(a: Vec, b: Vec) -> Column:
+    """Signed area of the 2D parallelogram of two vectors."""
+    return a[0] * b[1] - a[1] * b[0]
+
+
 def norm(a: Vec) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -175,20 +180,27 @@ def right_of(p: Vec, start, end) -> Column:
 
 
 def in_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
-    """Closed 2D triangle by barycentric coordinates; null if it is degenerate."""
-    d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-    u = F.try_divide((b[1] - c[1]) * (p[0] - c[0]) + (c[0] - b[0]) * (p[1] - c[1]), d)
-    v = F.try_divide((c[1] - a[1]) * (p[0] - c[0]) + (a[0] - c[0]) * (p[1] - c[1]), d)
-    return u.between(0, 1) & v.between(0, 1) & (1 - u - v).between(0, 1)
+    """Closed 2D triangle; null if it is degenerate.
+
+    Seen from the first corner the point is s times one side plus t times the other.
+    """
+    side, other, at = sub(b, a), sub(c, a), sub(p, a)
+    area = cross2(side, other)
+    s, t = F.try_divide(cross2(at, other), area), F.try_divide(cross2(side, at), area)
+    return (s >= 0) & (t >= 0) & (s + t <= 1)
 
 
 def circumcircle(a: Vec, b: Vec, c: Vec) -> tuple[Column, Column, Column]:
-    """Centre x, y and radius of three 2D points; nulls if they are collinear."""
-    d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
-    sa, sb, sc = dot(a, a), dot(b, b), dot(c, c)
-    x = F.try_divide(sa * (b[1] - c[1]) + sb * (c[1] - a[1]) + sc * (a[1] - b[1]), d)
-    y = F.try_divide(sa * (c[0] - b[0]) + sb * (a[0] - c[0]) + sc * (b[0] - a[0]), d)
-    return x, y, distance(a, (x, y))
+    """Centre x, y and radius of three 2D points; nulls if they are collinear.
+
+    Seen from the first corner the centre is on the perpendicular bisectors of both sides.
+    """
+    side, other = sub(b, a), sub(c, a)
+    twice = 2 * cross2(side, other)
+    m, n = dot(side, side), dot(other, other)
+    x = F.try_divide(m * other[1] - n * side[1], twice)
+    y = F.try_divide(n * side[0] - m * other[0], twice)
+    return a[0] + x, a[1] + y, F.sqrt(x * x + y * y)
 
 
 def sigmoid(x: Column) -> Column:
