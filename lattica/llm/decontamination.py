@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -46,9 +47,9 @@ SHINGLE = 5
 OVERLAP = 0.8
 LEAST_SCORE = 0.5
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 16
 SLICE_BYTES = 8 << 20
-BATCH_WORDS = 1 << 18
+BATCH_WORDS = 1 << 16
 #: Sums of weights that differ by less than this are equal.
 ROUNDING = 1e-6
 
@@ -202,7 +203,7 @@ class Index:
         get, group, held = self.terms.get, [], 0
         for at, text in enumerate(texts):
             if text and self.ids and (words := words_of(text)):
-                group.append((at, np.fromiter((get(w, -1) for w in words), np.int64, len(words))))
+                group.append((at, np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))))
                 held += len(words)
                 if held >= BATCH_WORDS:
                     self._search(group, out)
