@@ -4,75 +4,168 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.hot import join_groups
 from lattica.operators.joins import MARGIN
+from lattica.session import materialize
 
 AXES = "xyz"
 FLOOR = 1e-6
 
 
+#: Distinct points that a task holds at once, on average; a cell is never narrower than a half-width.
+TASK_POINTS = 1 << 15
+
+
 def wall_flags(points: DataFrame, slab: float, column: float, thresholds, drop_last: bool = False) -> DataFrame:
     """(point_id, fx, fy, fz): 1 if the point is at a wall across that axis.
 
     For axis d the slab holds the points within ``slab`` along d. For each other axis ``a``, with
     ``o`` the third, the column holds those of the slab within ``column`` along o; the flag is set
     if the point is closer to the column's least or largest ``a`` than ``thresholds[a]`` (a pair)
-    times its extent. The slab join is by buckets along d and along o, so its work follows the
-    column and not the slab. With ``drop_last`` the largest (value, id) of each slab is left out.
+    times its extent. With ``drop_last`` the largest (value, id) of each slab is left out.
+
+    No pairs are listed. Points of equal coordinates are one. They are dealt to cells along d and o,
+    with a margin of a half-width; in a cell the least and largest ``a`` of each column come from a
+    merge-sort tree, whose work grows with n log n. A point with a null coordinate has no flag.
     """
-    flags = []
-    for d in range(3):
-        dn = AXES[d]
-        last = _slab_last(points, dn, slab) if drop_last else None
-        for a in [k for k in range(3) if k != d]:
-            an, on = AXES[a], AXES[3 - a - d]
-            flags.append(_axis_flags(points, dn, an, on, slab, column, thresholds[a], last).withColumn("d", F.lit(d)))
-    rows = reduce(DataFrame.unionByName, flags)
-    hits = rows.groupBy("point_id").agg(*[F.max(F.when(F.col("d") == d, F.col("flag")).otherwise(0)).alias(f"f{AXES[d]}") for d in range(3)])
-    return points.select("point_id").join(hits, "point_id", "left").fillna(0, ["fx", "fy", "fz"])
-
-
-def _slab_last(points, dn, slab):
-    """(a_id, last_id): the largest (value, id) of each point's slab, without listing slabs.
-
-    Largest values per bucket suffice where a whole bucket is inside; the highest bucket is probed.
+    spots = points.groupBy(*AXES).agg(F.max("point_id").alias("top"), F.count("*").alias("rows"))
+    spots = materialize(spots, "spots")
+    ends = spots.agg(F.count("*").alias("n"), F.sum("rows").alias("total"), *[f(F.nanvl(a, F.lit(None))).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    shares = lambda a, half: max(1.0, ((ends[f"hi{a}"] or 0.0) - (ends[f"lo{a}"] or 0.0)) / half)
+    cells = max(1.0, ends["n"] / TASK_POINTS)
+    if drop_last:
+        for d in AXES:
+            spots = spots.join(_slab_last(spots, d, slab, max(1.0, shares(d, slab) / cells)), d, "left")
+        spots = materialize(spots, "slabs")
+    half, found = max(slab, column), []
+    for k, a in enumerate(AXES):
+        p, q = [x for x in AXES if x != a]
+        width = max(1.0, (shares(p, half) * shares(q, half) / cells) ** 0.5)
+        rows = _dealt(spots, [p, q], half, width)
+        run = _flags_of(a, p, q, slab, column, thresholds[k], drop_last)
+        found.append(rows.groupBy(f"cell_{p}", f"cell_{q}").applyInPandas(run, "x double, y double, z double, fx int, fy int, fz int"))
+    hits = reduce(DataFrame.unionByName, found).groupBy(*AXES).agg(*[F.max(f"f{a}").alias(f"f{a}") for a in AXES])
+    whole = reduce(lambda u, v: u & v, [F.col(a).isNotNull() for a in AXES])
+    flags = [F.coalesce(f"f{a}", F.lit(0)).alias(f"f{a}") for a in AXES]
+    hits = spots.filter(whole).select(*AXES, "rows").join(hits, list(AXES), "left").select(*AXES, "rows", *flags)
+    own = points.select("point_id", *AXES)
+    known = join_groups(own.filter(whole), materialize(hits, "flags"), list(AXES), ends["total"] or 0).select("point_id", "fx", "fy", "fz")
+    return known.unionByName(own.filter(~whole).select("point_id", *[F.lit(0).alias(f"f{a}") for a in AXES]))
+
+
+def _dealt(spots, axes, half, width):
+    """``spots`` in every cell, ``width`` half-widths wide, that they are within a half-width of; ``own`` in the one they lie in."""
+    own, side = F.lit(True), width * half * MARGIN
+    for a in axes:
+        at = lambda v: F.floor((F.col(a) + v) / side)  # noqa: E731, B023
+        spots = spots.filter(F.col(a).isNotNull() & ~F.isnan(a)).withColumn(f"cell_{a}", F.explode(F.sequence(at(-half * MARGIN), at(half * MARGIN))))
+        own = own & (F.col(f"cell_{a}") == at(0.0))
+    return spots.withColumn("own", own)
+
+
+def _slab_last(spots, d, slab, width):
+    """(d, last_d, top_d, lone_d): of each value's slab the largest (value, id), and whether no other row has its coordinates."""
+    values = spots.groupBy(d).agg(F.max(F.struct("top", "rows")).alias("m")).select(d, "m.top", "m.rows")
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(d)
+        v = pdf[d].to_numpy()
+        at = np.searchsorted(v, v + slab, "right") - 1
+        last = pd.DataFrame({d: v, f"last_{d}": v[at], f"top_{d}": pdf["top"].to_numpy()[at], f"lone_{d}": pdf["rows"].to_numpy()[at] == 1})
+        return last[pdf["own"].to_numpy()]
+
+    rows = _dealt(values, [d], slab, width).groupBy(f"cell_{d}")
+    return rows.applyInPandas(run, f"{d} double, last_{d} double, top_{d} long, lone_{d} boolean")
+
+
+def window_ends(rank_lo, rank_hi, other, other_lo, other_hi, low, high):
+    """Least of ``low`` and largest of ``high`` over the places rank_lo .. rank_hi - 1 whose ``other`` is in other_lo .. other_hi - 1.
+
+    ``other`` are small integers. A merge-sort tree, one level at a time for all queries at once; in
+    each level sparse tables answer for the stretches of ``other``. No place: inf and -inf.
     """
-    width = slab * MARGIN
-    a = points.select(F.col("point_id").alias("a_id"), F.col(dn).alias("a_v"))
-    a = a.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a_v") / width), F.floor(F.col("a_v") / width) + 1)))
-    b = points.select(F.col("point_id").alias("b_id"), F.col(dn).alias("b_v"), F.floor(F.col(dn) / width).alias("bucket"))
-    return (
-        a.join(b, "bucket")
-        .filter(F.col("b_v").between(F.col("a_v") - slab, F.col("a_v") + slab))
-        .groupBy("a_id")
-        .agg(F.max(F.struct("b_v", "b_id")).alias("m"))
-        .select("a_id", F.col("m.b_id").alias("last_id"))
-    )
-
-
-def _axis_flags(points, dn, an, on, slab, column, limits, last):
-    wd, wo = slab * MARGIN, column * MARGIN
-    cells = lambda df, v, w, name: df.withColumn(name, F.explode(F.sequence(F.floor(F.col(v) / w) - 1, F.floor(F.col(v) / w) + 1)))
-    p = points.select(F.col("point_id").alias("a_id"), F.col(dn).alias("ad"), F.col(an).alias("aa"), F.col(on).alias("ao"))
-    p = cells(cells(p, "ad", wd, "bd_cell"), "ao", wo, "bo_cell")
-    q = points.select(
-        F.col("point_id").alias("b_id"),
-        F.col(dn).alias("bd"),
-        F.col(an).alias("ba"),
-        F.col(on).alias("bo"),
-        F.floor(F.col(dn) / wd).alias("bd_cell"),
-        F.floor(F.col(on) / wo).alias("bo_cell"),
-    )
-    inside = F.col("bd").between(F.col("ad") - slab, F.col("ad") + slab) & (F.abs(F.col("bo") - F.col("ao")) <= column)
-    pairs = p.join(q, ["bd_cell", "bo_cell"]).filter(inside)
-    if last is not None:
-        pairs = pairs.join(last, "a_id").filter("b_id <> last_id")
-    ends = pairs.groupBy("a_id").agg(F.min("ba").alias("lo"), F.max("ba").alias("hi"), F.first("aa").alias("v"))
-    extent = F.greatest(F.col("hi") - F.col("lo"), F.lit(FLOOR))
-    near = (F.abs(F.col("v") - F.col("lo")) / extent < limits[0]) | (F.abs(F.col("v") - F.col("hi")) / extent < limits[1])
-    return ends.select(F.col("a_id").alias("point_id"), near.cast("int").alias("flag"))
+    lo, hi = np.full(len(rank_lo), np.inf), np.full(len(rank_lo), -np.inf)
+    left, right = rank_lo.astype(np.int64), rank_hi.astype(np.int64)
+    by_other, base = np.argsort(other, kind="stable"), np.int64(len(other) + 1)
+    level = 0
+    while (left < right).any():
+        node = by_other >> level
+        order = by_other[np.argsort(node, kind="stable")]
+        keys = (order >> level) * base + other[order]
+        least, most = [low[order]], [high[order]]
+        for k in range(level):
+            step = 1 << k
+            if step >= len(order):
+                break
+            least.append(np.minimum(least[-1][:-step], least[-1][step:]))
+            most.append(np.maximum(most[-1][:-step], most[-1][step:]))
+        for side in (0, 1):
+            q = np.flatnonzero((left < right) & ((right if side else left) & 1 == 1))
+            at = right[q] - 1 if side else left[q]
+            a = np.searchsorted(keys, at * base + other_lo[q])
+            b = np.searchsorted(keys, at * base + other_hi[q])
+            power = np.frexp(np.maximum(b - a, 1).astype(float))[1] - 1
+            for k in np.unique(power[b > a]).tolist():
+                t = (power == k) & (b > a)
+                x, y, z = q[t], a[t], b[t] - (1 << k)
+                lo[x] = np.minimum(lo[x], np.minimum(least[k][y], least[k][z]))
+                hi[x] = np.maximum(hi[x], np.maximum(most[k][y], most[k][z]))
+            if side:
+                right[q] -= 1
+            else:
+                left[q] += 1
+        left >>= 1
+        right >>= 1
+        level += 1
+    return lo, hi
+
+
+def _within(values, at, half):
+    """First and past-last place of the ascending ``values`` with ``abs(value - at) <= half``, as floating point has it."""
+    n = len(values)
+    lo, hi = np.searchsorted(values, at - half), np.searchsorted(values, at + half, "right")
+    for step, end, test in ((-1, 0, lambda i, t: at[t] - values[i[t] - 1] <= half), (1, n, lambda i, t: at[t] - values[i[t]] > half)):
+        while len(t := np.flatnonzero(lo != end)) and (go := test(lo, t)).any():
+            lo[t[go]] += step
+    for step, end, test in ((1, n, lambda i, t: values[i[t]] - at[t] <= half), (-1, 0, lambda i, t: values[i[t] - 1] - at[t] > half)):
+        while len(t := np.flatnonzero(hi != end)) and (go := test(hi, t)).any():
+            hi[t[go]] += step
+    return lo, hi
+
+
+def _flags_of(a, p, q, slab, column, limits, drop_last):
+    def run(pdf):
+        import pandas as pd
+
+        own = pdf["own"].to_numpy()
+        out = {x: pdf[x].to_numpy()[own] for x in AXES} | {f"f{a}": np.zeros(own.sum(), np.int32)}
+        gone = np.isnan(pdf[a].to_numpy())  # null or NaN
+        for d, o in ((p, q), (q, p)):
+            order = np.lexsort((pdf["top"].to_numpy(), pdf[d].to_numpy()))
+            mine = np.flatnonzero(own[order])
+            dv, av, ov = (pdf[x].to_numpy()[order] for x in (d, a, o))
+            lo, hi = np.searchsorted(dv, dv[mine] - slab), np.searchsorted(dv, dv[mine] + slab, "right")
+            if drop_last:
+                last, top, lone = (pdf[f"{n}_{d}"].to_numpy()[order][mine] for n in ("last", "top", "lone"))
+                hi -= (pdf["top"].to_numpy()[order][hi - 1] == top) & (dv[hi - 1] == last) & lone
+            values, place = np.unique(ov, return_inverse=True)
+            o_lo, o_hi = _within(values, ov[mine], column)
+            least, most = window_ends(lo, hi, place, o_lo, o_hi, np.where(gone[order], np.inf, av), np.where(gone[order], -np.inf, av))
+            v, extent = av[mine], np.maximum(most - least, FLOOR)
+            with np.errstate(invalid="ignore"):
+                near = (np.abs(v - least) / extent < limits[0]) | (np.abs(v - most) / extent < limits[1])
+            flag = np.zeros(len(own), np.int32)
+            flag[order[mine]] = near & (least <= most)
+            out[f"f{d}"] = flag[own]
+        return pd.DataFrame(out)[["x", "y", "z", "fx", "fy", "fz"]]
+
+    return run
 
 
 def interior(flags: DataFrame) -> DataFrame:
