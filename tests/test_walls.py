@@ -37,3 +37,11 @@ def test_wall_flags_equal_brute_force_in_small_cells(spark, monkeypatch, drop_la
     rows = rows[:-2]
     got = walls.wall_flags(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 0.2, 0.3, LIMITS, drop_last)
     assert {r.point_id: (r.fx, r.fy, r.fz) for r in got.collect()} == brute(rows, 0.2, 0.3, drop_last)
+
+
+def test_wall_flags_list_no_pairs(spark, monkeypatch):
+    """60,000 points of one slab and column, whose pairs are 3.6 billion."""
+    n = 60_000
+    points = spark.range(n).selectExpr("id AS point_id", "rand(1) * 0.01 AS x", "rand(2) * 0.01 AS y", "rand(3) AS z")
+    rows = walls.wall_flags(points, 0.05, 0.05, ((0.1, 0.1),) * 3).filter("fx = 1")
+    assert 0 < rows.count() < n
