@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import spectral
-from lattica.plans.inputs import triangles
+from lattica.plans.inputs import triangles, vertices
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,12 @@ def test_power_sums_and_kernel_equal_the_spectrum(spark, monkeypatch):
     assert image.filter("abs(u) > 1e-9").isEmpty()
     norms = base.groupBy("component").agg(F.sum(F.col("u") ** 2).alias("n")).collect()
     assert all(r.n == pytest.approx(1) for r in norms)
+
+
+def test_all_eigenvectors_return_the_mesh(spark, monkeypatch):
+    t, v = triangles(spark, SF), vertices(spark, SF)
+    whole = {r.vertex_id: (r.x, r.y, r.z) for r in v.collect()}
+    monkeypatch.setattr(spectral, "spectrum", refused)
+    low = {r.vertex_id: (r.x, r.y, r.z) for r in spectral.low_pass(t, v, 1.0).collect()}
+    assert low and all(whole[k] == p for k, p in low.items())
+    assert low.keys() == {r.vertex_id for r in spectral.degrees(t).collect()}
