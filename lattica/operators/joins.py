@@ -49,30 +49,47 @@ def radius_pairs(points: DataFrame, radius: float, axes: str = "xyz", closed: bo
     return pairs.filter(F.col("d2") <= limit if closed else F.col("d2") < limit).select("a_id", "b_id", "d2")
 
 
-def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> DataFrame:
-    """Edges (u, v) with the components of ``radius_pairs``, without all pairs of a dense spot.
+def radius_cells(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``(cells, links, names)``: cells(*names, head, rows) whose points are all near each other, and links (u, v) of their heads.
 
-    Points of a cell whose diagonal is under the radius are linked to the cell's least id; pairs
-    are tested across cells only.
+    A cell's diagonal is under the radius; its head is its least id. Two cells are linked if a point
+    of one is near a point of the other, so the components of cells are those of ``radius_pairs``
+    and there are as many nodes as cells, however many points lie in them. Points of equal coordinates
+    are tested once. Points with a null coordinate are in no cell.
     """
     side = radius / len(axes) ** 0.5 * (1 - 1e-9)
     reach = 2 if len(axes) < 4 else 3
-    cells = points.select("point_id", *axes, *[F.floor(F.col(a) / side).alias(f"c{a}") for a in axes])
     names = [f"c{a}" for a in axes]
-    heads = cells.groupBy(*names).agg(F.min("point_id").alias("head"), F.count("*").alias("rows"))
-    cells = materialize(join_groups(cells, heads, names), "cells")
-    stars = cells.filter("point_id <> head").select(F.col("head").alias("u"), F.col("point_id").alias("v"))
-    probe = cells.select(F.col("head").alias("u"), *[F.col(a).alias(f"a{a}") for a in axes], *names)
+    spots = points.filter(" AND ".join(f"{a} IS NOT NULL" for a in axes)).groupBy(*axes).agg(F.min(F.col("point_id").cast("long")).alias("id"), F.count("*").alias("copies"))
+    spots = materialize(spots.select("*", *[F.floor(F.col(a) / side).alias(n) for a, n in zip(axes, names)]), "spots")
+    groups = spots.groupBy(*names).agg(F.min("id").alias("head"), F.sum("copies").alias("points"), F.count("*").alias("rows"))
+    groups = materialize(groups, "cells")
+    placed = join_groups(spots.select(*axes, *names), groups.select(*names, "head", "rows"), names)
+    placed = materialize(placed, "placed")
+    probe = placed.select(F.col("head").alias("u"), *[F.col(a).alias(f"a{a}") for a in axes], *names)
     for a in axes:
         probe = probe.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - reach, F.col(f"c{a}") + reach)))
     other = reduce(lambda x, y: x | y, [F.col(f"n{a}") != F.col(f"c{a}") for a in axes])
     probe = probe.filter(other).select("u", *[f"a{a}" for a in axes], *[F.col(f"n{a}").alias(f"c{a}") for a in axes])
-    base = cells.select(F.col("head").alias("v"), *[F.col(a).alias(f"b{a}") for a in axes], *names)
+    base = placed.select(F.col("head").alias("v"), *[F.col(a).alias(f"b{a}") for a in axes], *names)
     d2 = distance_sq(tuple(F.col(f"a{a}") for a in axes), tuple(F.col(f"b{a}") for a in axes))
     limit = float(radius) * float(radius)
     near = (d2 <= limit) if closed else (d2 < limit)
-    across = probe.join(base, names).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
-    return stars.unionByName(across)
+    links = probe.join(base, names).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    return groups.select(*names, "head", F.col("points").alias("rows")), links, names
+
+
+def in_cells(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
+    """``points`` with the places c{axis} of their cells, as ``radius_cells`` has them."""
+    side = radius / len(axes) ** 0.5 * (1 - 1e-9)
+    return points.select(F.col("point_id").cast("long").alias("point_id"), *[F.floor(F.col(a) / side).alias(f"c{a}") for a in axes])
+
+
+def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> DataFrame:
+    """Edges (u, v) with the components of ``radius_pairs``: each point to its cell's head, and heads to heads."""
+    cells, links, names = radius_cells(points, radius, axes, closed)
+    stars = join_groups(in_cells(points, radius, axes), cells, names).filter("point_id <> head").select(F.col("head").alias("u"), F.col("point_id").alias("v"))
+    return stars.unionByName(links)
 
 
 #: Up to this many queries are compared with all points; more are found by cells.
