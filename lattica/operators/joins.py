@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import distance_sq, point
+from lattica.operators.graph import components
 from lattica.operators.hot import join_groups
 from lattica.session import materialize
 
@@ -49,40 +52,128 @@ def radius_pairs(points: DataFrame, radius: float, axes: str = "xyz", closed: bo
     return pairs.filter(F.col("d2") <= limit if closed else F.col("d2") < limit).select("a_id", "b_id", "d2")
 
 
+def _finite(axes: str):
+    """Whether all coordinates are numbers; a null, a NaN or an infinity is near nothing."""
+    return reduce(lambda x, y: x & y, [F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) for a in axes])
+
+
+def _cell(axis: str, radius: float, axes: str):
+    side = radius / len(axes) ** 0.5 * (1 - 1e-9)
+    return F.when(_finite(axes), F.floor(F.col(axis) / side)).alias(f"c{axis}")
+
+
 def radius_cells(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """``(cells, links, names)``: cells(*names, head, rows) whose points are all near each other, and links (u, v) of their heads.
 
-    A cell's diagonal is under the radius; its head is its least id. Two cells are linked if a point
-    of one is near a point of the other, so the components of cells are those of ``radius_pairs``
-    and there are as many nodes as cells, however many points lie in them. Points of equal coordinates
-    are tested once. Points with a null coordinate are in no cell.
+    A cell's diagonal is under the radius; its head is its least id. The links are some of the pairs
+    of cells of which a point of one is near a point of the other, enough for the components of
+    cells to be those of ``radius_pairs``. There are as many nodes as cells, however many points lie
+    in them. Points of equal coordinates are tested once. Points with a coordinate that is null or
+    not finite are in no cell.
+
+    Neighbouring cells are linked by the points at their facing sides, or held apart by their boxes,
+    so that cells side by side need no other point. Of the pairs left, those in one component by
+    then are settled, too; the others are searched by ``_exact_links``.
     """
-    side = radius / len(axes) ** 0.5 * (1 - 1e-9)
-    reach = 2 if len(axes) < 4 else 3
     names = [f"c{a}" for a in axes]
-    spots = points.filter(" AND ".join(f"{a} IS NOT NULL" for a in axes)).groupBy(*axes).agg(F.min(F.col("point_id").cast("long")).alias("id"), F.count("*").alias("copies"))
-    spots = materialize(spots.select("*", *[F.floor(F.col(a) / side).alias(n) for a, n in zip(axes, names)]), "spots")
-    groups = spots.groupBy(*names).agg(F.min("id").alias("head"), F.sum("copies").alias("points"), F.count("*").alias("rows"))
-    groups = materialize(groups, "cells")
-    placed = join_groups(spots.select(*axes, *names), groups.select(*names, "head", "rows"), names)
-    placed = materialize(placed, "placed")
-    probe = placed.select(F.col("head").alias("u"), *[F.col(a).alias(f"a{a}") for a in axes], *names)
-    for a in axes:
-        probe = probe.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - reach, F.col(f"c{a}") + reach)))
-    other = reduce(lambda x, y: x | y, [F.col(f"n{a}") != F.col(f"c{a}") for a in axes])
-    probe = probe.filter(other).select("u", *[f"a{a}" for a in axes], *[F.col(f"n{a}").alias(f"c{a}") for a in axes])
-    base = placed.select(F.col("head").alias("v"), *[F.col(a).alias(f"b{a}") for a in axes], *names)
-    d2 = distance_sq(tuple(F.col(f"a{a}") for a in axes), tuple(F.col(f"b{a}") for a in axes))
-    limit = float(radius) * float(radius)
-    near = (d2 <= limit) if closed else (d2 < limit)
-    links = probe.join(base, names).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    spots = points.filter(_finite(axes)).groupBy(*axes).agg(F.min(F.col("point_id").cast("long")).alias("id"), F.count("*").alias("copies"))
+    spots = materialize(spots.select("*", *[_cell(a, radius, axes) for a in axes]), "spots")
+    # the extreme points of each axis, least then greatest, which are the sides of the box as well
+    ends = [f(F.struct(a, *[b for b in axes if b != a])) for a in axes for f in (F.min, F.max)]
+    groups = spots.groupBy(*names).agg(F.min("id").alias("head"), F.sum("copies").alias("points"), F.count("*").alias("rows"), *[e.alias(f"e{k}") for k, e in enumerate(ends)])
+    point_of = lambda k: F.struct(*[F.col(f"e{k}")[a].alias(a) for a in axes])
+    groups = materialize(groups.select(*names, "head", "points", "rows", F.array(*[point_of(k) for k in range(2 * len(axes))]).alias("ends")), "cells")
+    near = (lambda d2: d2 <= float(radius) * float(radius)) if closed else (lambda d2: d2 < float(radius) * float(radius))
+    pairs = _cell_pairs(groups, axes, names)
+    at = lambda e, k: tuple(e[k][a] for a in axes)
+    facing = distance_sq(at(F.col("ue"), F.col("ku")), at(F.col("ve"), F.col("kv")))
+    pairs = pairs.filter(near(_gap_sq("ue", "ve", axes))).select("u", "v", near(facing).alias("linked"))
+    pairs = materialize(pairs, "pairs")
+    sure = pairs.filter("linked").select("u", "v")
+    links = sure.unionByName(_exact_links(pairs.filter("NOT linked").select("u", "v"), sure, spots, groups, axes, near, radius, closed))
     return groups.select(*names, "head", F.col("points").alias("rows")), links, names
 
 
+def _cell_pairs(groups: DataFrame, axes: str, names: list[str]) -> DataFrame:
+    """(u, v, ue, ve, ku, kv): neighbouring cells, each pair once, with their ends and the places of those that face each other."""
+    reach = 2 if len(axes) < 4 else 3
+    offsets = [o for o in product(range(-reach, reach + 1), repeat=len(axes)) if o > (0,) * len(axes)]
+    steps = []
+    for o in offsets:
+        axis = max(range(len(axes)), key=lambda i: abs(o[i]))
+        up = o[axis] > 0
+        steps.append(F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(axes, o)], F.lit(2 * axis + up).alias("ku"), F.lit(2 * axis + (not up)).alias("kv")))
+    probe = groups.select(F.col("head").alias("u"), *names, F.explode(F.array(*steps)).alias("o"))
+    probe = probe.select("u", *[(F.col(n) + F.col(f"o.d{a}")).alias(n) for a, n in zip(axes, names)], "o.ku", "o.kv")
+    met = probe.join(groups.select(*names, F.col("head").alias("v"), F.col("ends").alias("ve")), names).drop(*names)
+    return met.join(groups.select(F.col("head").alias("u"), F.col("ends").alias("ue")), "u")
+
+
+def _gap_sq(one: str, other: str, axes: str):
+    """Square of the distance of two boxes, which that of no two points in them falls below, rounding included."""
+    gaps = []
+    for i, a in enumerate(axes):
+        low, high = (lambda e: F.col(e)[2 * i][a]), (lambda e: F.col(e)[2 * i + 1][a])
+        gaps.append(F.greatest(low(other) - high(one), low(one) - high(other), F.lit(0.0)))
+    return distance_sq(tuple(gaps), tuple(F.lit(0.0) for _ in axes))
+
+
+def nearer(a: np.ndarray, b: np.ndarray, limit: float, closed: bool, leaf: int = 1 << 14) -> bool:
+    """Whether a point of ``a`` is nearer to one of ``b`` than the root of ``limit``: halves of both, as far as their boxes leave it open."""
+    within = (lambda d2: d2 <= limit) if closed else (lambda d2: d2 < limit)
+
+    def square(d):
+        return reduce(lambda x, y: x + y, [d[..., i] * d[..., i] for i in range(d.shape[-1])])
+
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if len(a) * len(b) <= leaf:
+            if within(square(a[:, None] - b[None])).any():
+                return True
+            continue
+        (a0, a1), (b0, b1) = (a.min(axis=0), a.max(axis=0)), (b.min(axis=0), b.max(axis=0))
+        if not within(square(np.maximum(np.maximum(b0 - a1, a0 - b1), 0.0))):
+            continue
+        if within(square(np.maximum(a1 - b0, b1 - a0))) or within(square(a[0] - b[0])):
+            return True
+        if len(a) < len(b):
+            a, b, a0, a1 = b, a, b0, b1
+        axis, half = int((a1 - a0).argmax()), len(a) // 2
+        a = a[np.argpartition(a[:, axis], half)]
+        stack += [(a[:half], b), (a[half:], b)]
+    return False
+
+
+def _exact_links(pairs: DataFrame, sure: DataFrame, spots: DataFrame, groups: DataFrame, axes: str, near, radius: float, closed: bool) -> DataFrame:
+    """Those of the ``pairs`` (u, v) between components of the links ``sure`` that have two points near each other.
+
+    A pair of cells is one group, of the points that are near the other cell's box.
+    """
+    labels = components(sure)
+    of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}c"))
+    pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    pairs = materialize(pairs.filter(F.coalesce("uc", "u") != F.coalesce("vc", "v")).select("u", "v"), "open")
+    names, limit = [f"c{a}" for a in axes], float(radius) * float(radius)
+    sides = pairs.select(F.col("u").alias("head"), F.col("v").alias("other"), "u", "v").unionByName(pairs.select(F.col("v").alias("head"), F.col("u").alias("other"), "u", "v"))
+    boxes = sides.join(groups.select(F.col("head").alias("other"), F.col("ends").alias("oe")), "other")
+    asked = boxes.groupBy("head").agg(F.collect_list(F.struct("u", "v", (F.col("head") == F.col("u")).alias("first"), "oe")).alias("asked"))
+    asked = materialize(groups.select(*names, "head", "rows").join(asked, "head"), "asked")
+    rows = join_groups(spots.select(*axes, *names), asked, names).select(*axes, F.explode("asked").alias("q")).select(*axes, "q.*")
+    rows = rows.withColumn("me", F.array(*[F.struct(*axes) for _ in range(2 * len(axes))]))
+    rows = rows.filter(near(_gap_sq("me", "oe", axes))).select("u", "v", "first", *axes)
+
+    def run(pdf):
+        first, xyz = pdf["first"].to_numpy(), pdf[list(axes)].to_numpy()
+        a, b = xyz[first], xyz[~first]
+        return pdf[["u", "v"]].iloc[: int(len(a) > 0 and len(b) > 0 and nearer(a, b, limit, closed))]
+
+    return rows.groupBy("u", "v").applyInPandas(run, "u long, v long")
+
+
 def in_cells(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """``points`` with the places c{axis} of their cells, as ``radius_cells`` has them."""
-    side = radius / len(axes) ** 0.5 * (1 - 1e-9)
-    return points.select(F.col("point_id").cast("long").alias("point_id"), *[F.floor(F.col(a) / side).alias(f"c{a}") for a in axes])
+    """``points`` with the places c{axis} of their cells, as ``radius_cells`` has them: null for those in no cell."""
+    return points.select(F.col("point_id").cast("long").alias("point_id"), *[_cell(a, radius, axes) for a in axes])
 
 
 def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> DataFrame:
