@@ -171,9 +171,9 @@ def _exact_links(pairs: DataFrame, sure: DataFrame, spots: DataFrame, groups: Da
     return rows.groupBy("u", "v").applyInPandas(run, "u long, v long")
 
 
-def in_cells(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """``points`` with the places c{axis} of their cells, as ``radius_cells`` has them: null for those in no cell."""
-    return points.select(F.col("point_id").cast("long").alias("point_id"), *[_cell(a, radius, axes) for a in axes])
+def in_cells(points: DataFrame, radius: float, axes: str = "xyz", keep: str = "") -> DataFrame:
+    """``points`` with the places c{axis} of their cells, as ``radius_cells`` has them: null for those in no cell; ``keep`` names axes to keep."""
+    return points.select(F.col("point_id").cast("long").alias("point_id"), *keep, *[_cell(a, radius, axes) for a in axes])
 
 
 def radius_links(points: DataFrame, radius: float, axes: str = "xyz", closed: bool = False) -> DataFrame:
