@@ -152,7 +152,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HO
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)]))
     rows = fps.select("fp", table.alias("x")).select("x.t", "x.k", "fp")
     shared = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(shared, ["t", "k"])
+    rows = rows.join(shared.hint("merge"), ["t", "k"])  # both are taken for as small as ``fps``, of which they are 31 copies
     again = F.array(*[F.array(*[F.lit(m) for m in family]) for family in spare])
     deal = F.when(
         F.col("n") > hot_bucket,

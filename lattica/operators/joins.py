@@ -16,6 +16,8 @@ from lattica.session import materialize
 
 MARGIN = 1 + 1e-9
 
+# Spark takes exploded rows for as many as before, and could broadcast them; the joins below are hinted to be shuffled.
+
 
 def range_pairs(points: DataFrame, probes: DataFrame, axis: str, half_width: float, drop_last: bool = False) -> DataFrame:
     """(a_id, b_id) with ``|b.axis - a.axis| <= half_width``; ids are ``point_id`` of probes and points.
@@ -28,7 +30,7 @@ def range_pairs(points: DataFrame, probes: DataFrame, axis: str, half_width: flo
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a_v") / width) - 1, F.floor(F.col("a_v") / width) + 1)))
     b = points.select(F.col("point_id").alias("b_id"), F.col(axis).alias("b_v"), F.floor(F.col(axis) / width).alias("bucket"))
     inside = F.col("b_v").between(F.col("a_v") - half_width, F.col("a_v") + half_width)
-    pairs = a.join(b, "bucket").filter(inside).select("a_id", "b_id", "a_v", "b_v")
+    pairs = a.join(b.hint("merge"), "bucket").filter(inside).select("a_id", "b_id", "a_v", "b_v")
     if drop_last:
         last = pairs.groupBy("a_id").agg(F.max(F.struct("b_v", "b_id")).alias("last"))
         pairs = pairs.join(last, "a_id").filter(F.col("b_id") != F.col("last.b_id")).drop("last")
@@ -47,7 +49,7 @@ def radius_pairs(points: DataFrame, radius: float, axes: str = "xyz", closed: bo
     for a in axes:
         probe = probe.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"k{a}") - 1, F.col(f"k{a}") + 1))).drop(f"k{a}")
     d2 = distance_sq(tuple(F.col(f"a{a}") for a in axes), tuple(F.col(f"b{a}") for a in axes))
-    pairs = probe.join(base, [f"c{a}" for a in axes]).filter("a_id < b_id").withColumn("d2", d2)
+    pairs = probe.join(base.hint("merge"), [f"c{a}" for a in axes]).filter("a_id < b_id").withColumn("d2", d2)
     limit = F.lit(float(radius)) * F.lit(float(radius))
     return pairs.filter(F.col("d2") <= limit if closed else F.col("d2") < limit).select("a_id", "b_id", "d2")
 
@@ -105,7 +107,8 @@ def _cell_pairs(groups: DataFrame, axes: str, names: list[str]) -> DataFrame:
         steps.append(F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(axes, o)], F.lit(2 * axis + up).alias("ku"), F.lit(2 * axis + (not up)).alias("kv")))
     probe = groups.select(F.col("head").alias("u"), *names, F.explode(F.array(*steps)).alias("o"))
     probe = probe.select("u", *[(F.col(n) + F.col(f"o.d{a}")).alias(n) for a, n in zip(axes, names)], "o.ku", "o.kv")
-    met = probe.join(groups.select(*names, F.col("head").alias("v"), F.col("ends").alias("ve")), names).drop(*names)
+    base = groups.select(*names, F.col("head").alias("v"), F.col("ends").alias("ve"))
+    met = probe.join(base.hint("merge"), names).drop(*names)  # else the probes, taken for fewer than they are, may be broadcast
     return met.join(groups.select(F.col("head").alias("u"), F.col("ends").alias("ue")), "u")
 
 
