@@ -33,3 +33,24 @@ def test_all_eigenvectors_return_the_mesh(spark, monkeypatch):
     low = {r.vertex_id: (r.x, r.y, r.z) for r in spectral.low_pass(t, v, 1.0).collect()}
     assert low and all(whole[k] == p for k, p in low.items())
     assert low.keys() == {r.vertex_id for r in spectral.degrees(t).collect()}
+
+
+@pytest.mark.parametrize("n", [7000, 20_000])
+def test_close_eigenvalues_of_a_long_component(n):
+    """Those of a path are known, and lie as close as those of a long strip."""
+    u = np.arange(n - 1)
+    i, j = np.r_[u, u + 1], np.r_[u + 1, u]
+    order = np.lexsort((j, i))
+    values, vectors = spectral.least_pairs(i[order], j[order], n, 12)
+    assert values == pytest.approx(2 - 2 * np.cos(np.pi * np.arange(12) / n), rel=1e-6, abs=1e-14)
+    image = spectral._csr_product(i[order], j[order], n)
+    assert all(np.abs(image(vectors[:, k]) - values[k] * vectors[:, k]).max() < 1e-9 for k in range(12))
+
+
+def test_factors_too_large_are_refused(monkeypatch):
+    monkeypatch.setattr(spectral, "FACTOR_ENTRIES", 1000)
+    u = np.arange(99)
+    i, j = np.r_[u, u + 1], np.r_[u + 1, u]
+    order = np.lexsort((j, i))
+    with pytest.raises(ValueError, match="too large"):
+        spectral.least_pairs(i[order], j[order], 100, 5)
