@@ -6,15 +6,15 @@ and softmax are trained together by stochastic gradient descent in numpy on the
 temperature, fitted on examples that were not trained on, calibrates the scores. Short texts score
 lower, so rejection goes by length: each length in ``EXAMPLE_WORDS`` has a threshold, and a text is
 held against that of the greatest such length it has. For the greatest it is the ``REJECTED``
-quantile of the scores of whole documents that were not trained on and are predicted right, so
+quantile of the scores of all whole documents that were not trained on and are predicted right, so
 documents with passages in other languages count as they are. For shorter ones, and where there are
 under ``LEAST_CALIBRATED`` such documents, it lies halfway between an even guess and that quantile
 for stretches of that length.
 
 Training reads about ``DOCS_PER_LANGUAGE`` documents of each language (all if there are fewer),
 chosen by the hash of their id, and of each at most ``EXAMPLES_PER_DOC`` stretches of up to 40 words
-(of up to 100 characters) spread over the whole text: a documented bound of the sample, and so are
-the ``CALIBRATED_DOCS`` documents of each language that thresholds rest on. Equal rows count once.
+(of up to 100 characters) spread over the whole text: a documented bound of the sample. The threshold
+of long texts rests on all other labelled documents outside the held-out fold. Equal rows count once.
 Prediction reads whole texts.
 
 A text that is null or has no letter (``str.isalpha``) is ``und`` with score 0 and always rejected.
@@ -46,7 +46,6 @@ RATE = 0.5
 SEED = 3
 HELD_OUT_SHARE = 0.1
 REJECTED = 0.0005
-CALIBRATED_DOCS = 2000
 LEAST_CALIBRATED = 500
 LONG_TEXT = 6000
 BROADCAST_LANGUAGES = 10_000
@@ -193,7 +192,8 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(
         "lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL"
     ).filter(~held_out_fold())
-    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    once = labelled.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    counts = materialize(once.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     if counts.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
         counts = F.broadcast(counts)
     share = F.shiftrightunsigned("pick", 33) / float(1 << 31) * F.col("n")
@@ -201,26 +201,28 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     chosen = drawn.filter(F.col("place") < docs_per_language).select("pick", "text", "lang").distinct()
     rows = chosen.mapInArrow(_stretches, "text string, lang string").collect()
     model = train([(r.text, r.lang) for r in rows])
-    others = drawn.filter((F.col("place") >= docs_per_language) & (F.col("place") < docs_per_language + CALIBRATED_DOCS))
-    calibrate(model, others.select("doc_id", "text", "lang").distinct())
+    calibrate(model, drawn.filter(F.col("place") >= docs_per_language).select("doc_id", "text", "lang"))
     return model
 
 
 def calibrate(model: Model, docs: DataFrame) -> None:
-    """Sets the threshold of long texts by those of ``docs(doc_id, text, lang)`` that are predicted right."""
+    """Sets the threshold of long texts by those of ``docs(doc_id, text, lang)`` that are predicted right, equal rows once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, one column a language
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            scores = []
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            rows, scores = [], []
+            for k, (text, lang) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 found, score = own.predict(text)
                 if found == lang and length_class(text) == len(EXAMPLE_WORDS) - 1:
+                    rows.append(k)
                     scores.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(scores, pa.float64())], names=["doc_id", "h", "score"])
 
-    scores = docs.mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.percentile_approx("score", REJECTED, 100_000).alias("least")).first()
+    rows = docs.select("doc_id", F.xxhash64("text", "lang").alias("h"), "text", "lang").mapInArrow(run, "doc_id long, h long, score double").distinct()
+    scores = rows.agg(F.count("*").alias("n"), F.percentile_approx("score", REJECTED, 100_000).alias("least")).first()
     if scores["n"] >= LEAST_CALIBRATED:
         model.thresholds[-1] = scores["least"]
 

@@ -118,3 +118,18 @@ def test_edge_cases(spark):
     nothing = li.fit(docs.limit(0))
     assert {r.lang_pred for r in li.predict(docs, nothing).collect()} == {"und"}
     assert li.predict(documents(spark, ["a b"], ids=[None]), model).count() == 1
+
+
+def test_thresholds_rest_on_all_other_documents(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, real = [], li.calibrate
+    monkeypatch.setattr(li, "calibrate", lambda model, rest: seen.append(rest.count()) or real(model, rest))
+    monkeypatch.setattr(li, "LEAST_CALIBRATED", 10)
+    many = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10**6)).unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10**7))
+    for _ in range(3):
+        many = many.unionAll(many.withColumn("doc_id", F.col("doc_id") * 7 + 3))
+    many = many.dropDuplicates(["doc_id"])
+    model = li.fit(many, 50)
+    learned = many.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~li.held_out_fold())
+    assert seen[0] > 4 * 2000 and seen[0] > 0.95 * learned.count()
+    assert li.fit(many.unionAll(many), 50).thresholds == model.thresholds
