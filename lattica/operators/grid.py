@@ -40,7 +40,7 @@ def raster_hulls(hulls: DataFrame, start, end, detail: int) -> DataFrame:
     spots = spots.select("region_id", "i", F.explode(span("by0", "by1", y0, sy)).alias("j"))
     px, py = F.lit(x0) + F.col("i") * sx, F.lit(y0) + F.col("j") * sy
     turn = (F.col("nx") - F.col("x")) * (py - F.col("y")) - (F.col("ny") - F.col("y")) * (px - F.col("x"))
-    hit = spots.join(hull_sides(hulls), "region_id").groupBy("region_id", "i", "j").agg(F.min(turn).alias("least")).filter("least >= 0")
+    hit = spots.join(hull_sides(hulls).hint("merge"), "region_id").groupBy("region_id", "i", "j").agg(F.min(turn).alias("least")).filter("least >= 0")
     around = F.array(*[F.struct((F.col("i") + di).alias("cx"), (F.col("j") + dj).alias("cy")) for di in (-1, 0) for dj in (-1, 0)])
     blocked = hit.select(F.explode(around).alias("c")).select("c.cx", "c.cy").filter(f"cx >= 0 AND cx < {w} AND cy >= 0 AND cy < {h}").distinct()
     ends = [(_cell(start, (x0, x1, y0, y1), w, h), START), (_cell(end, (x0, x1, y0, y1), w, h), END)]
@@ -155,15 +155,16 @@ def shortest(cells: DataFrame, start: tuple[int, int], diagonal: bool = True, st
 def path_cells(dist: DataFrame, end: tuple[int, int], diagonal: bool = True, straight: int = 1, slanted: int = 1) -> DataFrame:
     """(step, cx, cy) from start to end, back along the parent of least (dist, cx, cy); empty if there is no path.
 
-    Parents come from one self-join of the whole grid; the walk then reads one row a step.
+    Parents come from one self-join of the whole grid, shuffled, as its table is small on disk only;
+    the walk then reads one row a step.
     """
     moves = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(m, ("dx", "dy", "c"))]) for m in _costs(diagonal, straight, slanted)])
     toward = dist.select("cx", "cy", "dist", F.explode(moves).alias("m")).select(
         "cx", "cy", "dist", (F.col("cx") - F.col("m.dx")).alias("px"), (F.col("cy") - F.col("m.dy")).alias("py"), (F.col("dist") - F.col("m.c")).alias("pd")
     )
     prior = dist.select(F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("dist").alias("pd"))
-    parents = toward.join(prior, ["px", "py", "pd"]).groupBy("cx", "cy", "dist").agg(F.min(F.struct("pd", "px", "py")).alias("p"))
-    parents = dist.join(parents.select("cx", "cy", "p"), ["cx", "cy"], "left").select("cx", "cy", "dist", "p.px", "p.py")
+    parents = toward.join(prior.hint("merge"), ["px", "py", "pd"]).groupBy("cx", "cy", "dist").agg(F.min(F.struct("pd", "px", "py")).alias("p"))
+    parents = dist.join(parents.select("cx", "cy", "p").hint("merge"), ["cx", "cy"], "left").select("cx", "cy", "dist", "p.px", "p.py")
 
     def walk(batches):
         import pyarrow as pa

@@ -69,7 +69,7 @@ def path_to_door(
     spark = vertex_rows.sparkSession
     seeker = spark.createDataFrame([(0, *map(float, start))], "query_id long, x double, y double, z double")
     points = vertex_rows.withColumnRenamed("vertex_id", "point_id")
-    near = joins.nearest(points, seeker).select("point_id").join(points, "point_id").first()
+    near = points.join(F.broadcast(joins.nearest(points, seeker).select("point_id")), "point_id").first()  # one row
     door = mesh.door_target(mesh.holes(triangle_rows), vertex_rows, hole_rank).first()
     empty = spark.createDataFrame([], "step long, x double, y double")
     if near is None or door.x is None:

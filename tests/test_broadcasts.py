@@ -1,7 +1,10 @@
 """Joins whose exploded side Spark takes for small: none may be broadcast, whatever the sizes on disk."""
 
+import pytest
+
 from lattica.llm import simhash
-from lattica.operators import joins
+from lattica.operators import graph, grid, joins, mesh, regions, walls
+from lattica.plans import catalog, pipelines
 from lattica.session import materialize
 
 
@@ -20,3 +23,31 @@ def test_probes_of_cells_are_not_broadcast(spark):
     points = materialize(rows, "points")
     for df in (joins.radius_pairs(points, 0.1), joins.range_pairs(points, points, "x", 0.1)):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def exploded_and_broadcast(text):
+    """Whether a broadcast in a plan holds exploded rows."""
+    depth = None
+    for line in text.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if "BroadcastExchange" in line and depth is None:
+            depth = at
+        if depth is not None and "Generate" in line:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("name", ["path_to_door"])
+def test_queries_broadcast_no_exploded_rows(spark, monkeypatch, name):
+    seen = []
+
+    def noted(df, *args):
+        seen.append(plan(df))
+        return materialize(df, *args)
+
+    for module in (graph, grid, joins, mesh, regions, walls, pipelines):
+        monkeypatch.setattr(module, "materialize", noted, raising=False)
+    seen.append(plan(catalog.queries()[name](spark, "/root/testdata/sf0.001")))
+    assert any("Generate" in text for text in seen) and not any(map(exploded_and_broadcast, seen))
