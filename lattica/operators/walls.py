@@ -51,9 +51,9 @@ def wall_flags(points: DataFrame, slab: float, column: float, thresholds, drop_l
     hits = reduce(DataFrame.unionByName, found).groupBy(*AXES).agg(*[F.max(f"f{a}").alias(f"f{a}") for a in AXES])
     whole = reduce(lambda u, v: u & v, [F.col(a).isNotNull() for a in AXES])
     flags = [F.coalesce(f"f{a}", F.lit(0)).alias(f"f{a}") for a in AXES]
-    hits = spots.filter(whole).select(*AXES, "rows").join(hits, list(AXES), "left").select(*AXES, "rows", *flags)
+    hits = spots.filter(whole).select(*AXES, "rows").join(hits.hint("merge"), list(AXES), "left").select(*AXES, "rows", *flags)
     own = points.select("point_id", *AXES)
-    known = join_groups(own.filter(whole), materialize(hits, "flags"), list(AXES), ends["total"] or 0).select("point_id", "fx", "fy", "fz")
+    known = join_groups(own.filter(whole), materialize(hits, "flags"), list(AXES), ends["total"] or 0, shuffled=True).select("point_id", "fx", "fy", "fz")
     return known.unionByName(own.filter(~whole).select("point_id", *[F.lit(0).alias(f"f{a}") for a in AXES]))
 
 

@@ -139,7 +139,7 @@ TRI_WALL = dict(slab=0.8, column=0.8, thresholds=walls.TRIANGLE_PARAMETERS["thre
 def interior_triangles(spark, d):
     """Triangles whose centroid is at no wall."""
     flags = walls.wall_flags(_centroids(spark, d).withColumnRenamed("tri_id", "point_id"), **TRI_WALL)
-    return triangles(spark, d).join(walls.interior(flags).withColumnRenamed("point_id", "tri_id"), "tri_id", "left_semi")
+    return triangles(spark, d).join(walls.interior(flags).withColumnRenamed("point_id", "tri_id").hint("merge"), "tri_id", "left_semi")
 
 
 @register("edge_adjacent_tris", sql("SELECT DISTINCT a.tri_id AS a, b.tri_id AS b FROM tedge a JOIN tedge b ON a.u = b.u AND a.v = b.v AND a.tri_id < b.tri_id"))

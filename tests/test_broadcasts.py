@@ -39,7 +39,7 @@ def exploded_and_broadcast(text):
     return False
 
 
-@pytest.mark.parametrize("name", ["path_to_door"])
+@pytest.mark.parametrize("name", ["path_to_door", "interior_triangles"])
 def test_queries_broadcast_no_exploded_rows(spark, monkeypatch, name):
     seen = []
 
