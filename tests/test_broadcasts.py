@@ -53,7 +53,7 @@ def test_queries_broadcast_no_exploded_rows(spark, monkeypatch, name):
     assert any("Generate" in text for text in seen) and not any(map(exploded_and_broadcast, seen))
 
 
-@pytest.mark.parametrize("query", ["regions_min_size", "hull_enlarged", "regions_large"])
+@pytest.mark.parametrize("query", ["regions_min_size", "hull_enlarged", "regions_large", "roof_filter"])
 def test_points_meet_the_labels_of_cells_in_a_shuffle(spark, query):
     """The labels are small on disk, but not in memory; only hot ones, which are few, are broadcast."""
     text = plan(catalog.queries()[query](spark, "/root/testdata/sf0.001"))
