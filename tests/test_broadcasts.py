@@ -1,5 +1,6 @@
 """Joins whose exploded side Spark takes for small: none may be broadcast, whatever the sizes on disk."""
 
+import corpus_pipeline
 import pytest
 
 from lattica.llm import simhash
@@ -59,3 +60,19 @@ def test_points_meet_the_labels_of_cells_in_a_shuffle(spark, query):
     text = plan(catalog.queries()[query](spark, "/root/testdata/sf0.001"))
     broadcasts = [line for line in text.splitlines() if "BroadcastExchange HashedRelationBroadcastMode(List(input[0, bigint" in line and "input[1, bigint" in line and "input[2, bigint" in line]
     assert 0 < len(broadcasts) == 2 * text.count("LeftAnti")
+
+
+def test_near_dedup_stage_broadcasts_no_exploded_rows(spark, monkeypatch):
+    """The third stage of the pipeline, whose 31 tables of fingerprints the driver once collected."""
+    seen = []
+
+    def noted(df, *args):
+        seen.append(plan(df))
+        return materialize(df, *args)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    monkeypatch.setattr(graph, "materialize", noted)
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen.append(plan(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)))
+    assert any("Generate" in text for text in seen) and not any(map(exploded_and_broadcast, seen))
