@@ -175,12 +175,13 @@ def _components(prints: DataFrame, radius: int, hot_bucket: int) -> DataFrame:
     classes = materialize(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("copies")), "classes")
     links = fingerprint_links(classes.select("fp"), radius, hot_bucket)
     found = star_components(links.select("u", "v"))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+    # few bytes a row on disk, so all of these are shuffled however small they look
+    rooted = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "first", "copies", F.coalesce("component", "fp").alias("root")
     )
     rooted = materialize(rooted, "rooted")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("rows"))
-    return join_groups(rooted, heads, ["root"]).select("fp", "copies", "root", "head")
+    return join_groups(rooted, heads, ["root"], shuffled=True).select("fp", "copies", "root", "head")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT
     prints = materialize(fingerprints(docs).select("doc_id", "h", "fp"), "fingerprints")
     labels = _components(prints, radius, hot_bucket)
     labels = materialize(labels.select("fp", F.col("head.doc_id").alias("component_id"), F.col("copies").alias("rows")), "labels")
-    return join_groups(prints.select("doc_id", "fp"), labels, ["fp"])
+    return join_groups(prints.select("doc_id", "fp"), labels, ["fp"], shuffled=True)
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -203,5 +204,5 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUC
     heads = materialize(heads.select(*key(F.col("doc_id")), "h"), "heads")
     text = F.col("text").cast("string")
     rows = docs.select(*key(F.col("doc_id")), F.xxhash64(text.isNull(), text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(heads, ["n", "id", "h"], "left_semi").dropDuplicates(["n", "id", "h"])
+    kept = rows.join(heads.hint("merge"), ["n", "id", "h"], "left_semi").dropDuplicates(["n", "id", "h"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -76,3 +76,22 @@ def test_near_dedup_stage_broadcasts_no_exploded_rows(spark, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen.append(plan(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)))
     assert any("Generate" in text for text in seen) and not any(map(exploded_and_broadcast, seen))
+
+
+def test_near_dedup_stage_shuffles_what_grows_with_the_documents(spark, monkeypatch):
+    """Roots and heads, one for each document that stays, are small on disk only; just hot groups are broadcast."""
+    seen = {}
+
+    def noted(df, label):
+        seen[label] = plan(df)
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = plan(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir))
+    labelled = plan(simhash.near_duplicates(docs))
+    assert "SortMergeJoin" in seen["rooted"] and "BroadcastHashJoin" not in seen["rooted"]
+    assert "SortMergeJoin" in kept and "BroadcastHashJoin" not in kept
+    for text in (seen["heads"], seen["labels"], labelled):
+        assert "SortMergeJoin" in text and text.count("BroadcastHashJoin") == 2
