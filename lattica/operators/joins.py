@@ -109,7 +109,7 @@ def _cell_pairs(groups: DataFrame, axes: str, names: list[str]) -> DataFrame:
     probe = probe.select("u", *[(F.col(n) + F.col(f"o.d{a}")).alias(n) for a, n in zip(axes, names)], "o.ku", "o.kv")
     base = groups.select(*names, F.col("head").alias("v"), F.col("ends").alias("ve"))
     met = probe.join(base.hint("merge"), names).drop(*names)  # else the probes, taken for fewer than they are, may be broadcast
-    return met.join(groups.select(F.col("head").alias("u"), F.col("ends").alias("ue")), "u")
+    return met.join(groups.select(F.col("head").alias("u"), F.col("ends").alias("ue")).hint("merge"), "u")  # the ends are small on disk only
 
 
 def _gap_sq(one: str, other: str, axes: str):
@@ -154,12 +154,12 @@ def _exact_links(pairs: DataFrame, sure: DataFrame, spots: DataFrame, groups: Da
     A pair of cells is one group, of the points that are near the other cell's box.
     """
     labels = components(sure)
-    of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}c"))
+    of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}c")).hint("merge")
     pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
     pairs = materialize(pairs.filter(F.coalesce("uc", "u") != F.coalesce("vc", "v")).select("u", "v"), "open")
     names, limit = [f"c{a}" for a in axes], float(radius) * float(radius)
     sides = pairs.select(F.col("u").alias("head"), F.col("v").alias("other"), "u", "v").unionByName(pairs.select(F.col("v").alias("head"), F.col("u").alias("other"), "u", "v"))
-    boxes = sides.join(groups.select(F.col("head").alias("other"), F.col("ends").alias("oe")), "other")
+    boxes = sides.join(groups.select(F.col("head").alias("other"), F.col("ends").alias("oe")).hint("merge"), "other")
     asked = boxes.groupBy("head").agg(F.collect_list(F.struct("u", "v", (F.col("head") == F.col("u")).alias("first"), "oe")).alias("asked"))
     asked = materialize(groups.select(*names, "head", "rows").join(asked, "head"), "asked")
     rows = join_groups(spots.select(*axes, *names), asked, names).select(*axes, F.explode("asked").alias("q")).select(*axes, "q.*")

@@ -535,7 +535,7 @@ def regions_min_size(spark, d):
 
 @register("regions_large", sql("SELECT node AS point_id, component AS region_id FROM cc WHERE component IN (SELECT component FROM cc GROUP BY component HAVING count(*) >= 4)", REGIONS))
 def regions_large(spark, d):
-    return regions.large_regions(regions.regions(emb(spark, d), 0.05), 4)
+    return regions.regions(emb(spark, d), 0.05, least=4)
 
 
 @register(

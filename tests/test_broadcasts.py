@@ -95,3 +95,29 @@ def test_near_dedup_stage_shuffles_what_grows_with_the_documents(spark, monkeypa
     assert "SortMergeJoin" in kept and "BroadcastHashJoin" not in kept
     for text in (seen["heads"], seen["labels"], labelled):
         assert "SortMergeJoin" in text and text.count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize("query", ["regions_large"])
+def test_points_carry_what_is_needed_to_their_labels(spark, query):
+    """No join by the ids of points, whose one side may be broadcast, and none of all labels with the sizes of regions."""
+    text = plan(catalog.queries()[query](spark, "/root/testdata/sf0.001"))
+    joins_by_id = [line for line in text.splitlines() if "Join [point_id" in line or query != "hull_enlarged" and "Join [region_id" in line]
+    assert "Join [" in text and not joins_by_id
+
+
+def test_ends_of_cells_are_not_broadcast(spark, monkeypatch):
+    """Six points a cell, which take a small part of their size in memory on disk."""
+    seen = {}
+
+    def noted(df, label):
+        seen[label] = plan(df)
+        return materialize(df, label)
+
+    monkeypatch.setattr(joins, "materialize", noted)
+    monkeypatch.setattr(regions, "materialize", noted)
+    rows = spark.range(1000).selectExpr("id AS point_id", "id * 0.01D AS x", "id * 0.02D AS y", "id * 0.03D AS z")
+    regions.regions(materialize(rows, "points"), 0.1)
+    for label in ("pairs", "open", "asked"):
+        assert "SortMergeJoin" in seen[label]
+    assert "BroadcastHashJoin" not in seen["pairs"] + seen["open"]
+    assert "SortMergeJoin [head" in seen["labels"]
