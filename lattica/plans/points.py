@@ -548,7 +548,7 @@ GROUP BY component HAVING min(z) <= (SELECT avg(z) FROM emb)""",
 )
 def roof_filter(spark, d):
     p = emb(spark, d)
-    return regions.below_mean_height(p, regions.regions(p, 0.05), p).select("region_id", *rounded(min_z=F.col("min_z")))
+    return regions.below_mean_height(regions.regions(p.filter("point_id IS NOT NULL"), 0.05, keep="z"), p).select("region_id", *rounded(min_z=F.col("min_z")))
 
 
 @register("region_grow_capped")
