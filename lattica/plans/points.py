@@ -679,8 +679,8 @@ TURN = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
 
 
 def _regions_xy(spark, d):
-    p = emb(spark, d)
-    return p.join(regions.regions(p, 0.05), "point_id").select("region_id", "point_id", "x", "y")
+    p = emb(spark, d).filter("point_id IS NOT NULL")
+    return regions.regions(p, 0.05, keep="xy").select("region_id", "point_id", "x", "y")
 
 
 @register(

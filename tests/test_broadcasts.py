@@ -97,7 +97,7 @@ def test_near_dedup_stage_shuffles_what_grows_with_the_documents(spark, monkeypa
         assert "SortMergeJoin" in text and text.count("BroadcastHashJoin") == 2
 
 
-@pytest.mark.parametrize("query", ["regions_large", "roof_filter"])
+@pytest.mark.parametrize("query", ["hull_enlarged", "regions_large", "roof_filter"])
 def test_points_carry_what_is_needed_to_their_labels(spark, query):
     """No join by the ids of points, whose one side may be broadcast, and none of all labels with the sizes of regions."""
     text = plan(catalog.queries()[query](spark, "/root/testdata/sf0.001"))
