@@ -54,3 +54,40 @@ def test_factors_too_large_are_refused(monkeypatch):
     order = np.lexsort((j, i))
     with pytest.raises(ValueError, match="too large"):
         spectral.least_pairs(i[order], j[order], 100, 5)
+
+
+def edges_both_ways(pairs):
+    e = np.unique(np.array([*pairs, *[(b, a) for a, b in pairs]]), axis=0)
+    n = int(e.max()) + 1
+    dense = np.zeros((n, n))
+    dense[e[:, 0], e[:, 1]] = -1
+    return e[:, 0], e[:, 1], n, dense - np.diag(dense.sum(axis=1))
+
+
+STRIP = [(k, k + s) for k in range(900) for s in (1, 30, 29) if k + s < 900 and k % 7 and (k % 30 or s != 29) and (k % 30 < 29 or s != 1)]
+STAR = [(0 if s == 0 else a * 20 + s, a * 20 + s + 1) for a in range(5) for s in range(20)]
+
+
+@pytest.mark.parametrize("pairs", [STRIP, STAR])
+def test_least_values_need_no_basis_and_occur_as_often_as_they_do(pairs):
+    keep = {0} if pairs is STAR else {1}
+    while True:  # the component of one vertex, numbered anew
+        more = keep | {b for a, b in pairs if a in keep} | {a for a, b in pairs if b in keep}
+        if more == keep:
+            break
+        keep = more
+    place = {v: p for p, v in enumerate(sorted(keep))}
+    i, j, n, dense = edges_both_ways([(place[a], place[b]) for a, b in pairs if a in keep])
+    want = np.linalg.eigvalsh(dense)
+    for k in (1, 7, 60):
+        assert spectral.least_values(i, j, n, k) == pytest.approx(want[:k], abs=1e-9)
+    cuts = np.linspace(-1, 13, 40)
+    assert list(spectral.Banded(i, j, n).count(cuts)) == [(want < c).sum() for c in cuts]
+
+
+def test_values_beyond_the_bound_of_pairs(spark, monkeypatch):
+    t = triangles(spark, SF)
+    want = [r.value for r in spectral.smallest_spectrum(t, 120, vectors=False).orderBy("rank").collect()]
+    monkeypatch.setattr(spectral, "DENSE_VERTICES", 30)
+    got = [r.value for r in spectral.smallest_spectrum(t, 120, vectors=False).orderBy("rank").collect()]
+    assert got == pytest.approx(want, abs=1e-9)
